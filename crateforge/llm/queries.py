@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateforge.functions.session import table
-from crateforge.llm import duplicates, survivors, textform, tokens
+from crateforge.llm import duplicates, mojibake, survivors, textform, tokens
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,22 @@ def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that never were paths, to learn clean text from."""
+    c = table(spark, d, "mb_canonical_cache")
+    return table(spark, d, "items").select(F.col("title").alias("text")).unionAll(c.select("canonical_artist")).unionAll(c.select("canonical_title"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose path went through a wrong encoding."""
+    return mojibake.judged(table(spark, d, "items"), _names(spark, d)).where("garbled").select("id")
+
+
+def p3_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The affected items with the original path, where it can be restored, and the chain that led to it."""
+    return mojibake.judged(table(spark, d, "items"), _names(spark, d)).where("garbled").select("id", "original", "chain")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of differently written copies."""
     a = duplicates.album_pairs(table(spark, d, "albums")).select(F.lit("albums").alias("tbl"), "key_a", "key_b")
@@ -81,7 +97,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and callable of every query."""
-    return {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded)}
+    return {f.__name__: f for f in (p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded)}
 
 
 _USABLE = """CASE WHEN regexp_full_match(lower(regexp_replace(mb_albumid, '^\\s+|\\s+$', '', 'g')), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
