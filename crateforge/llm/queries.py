@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateforge.functions.session import table
-from crateforge.llm import duplicates, mojibake, prose, survivors, textform, tokens
+from crateforge.llm import duplicates, mojibake, prose, survivors, textform, tokens, variants
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,16 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").select(F.col("title").alias("text")).unionAll(c.select("canonical_artist")).unionAll(c.select("canonical_title"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without a release id and the release they mean, where they spell it otherwise."""
+    return variants.found(table(spark, d, "albums"), table(spark, d, "mb_canonical_cache"))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct spelling with its release and the confidence of the link."""
+    return variants.linked(table(spark, d, "albums"), table(spark, d, "mb_canonical_cache"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items whose path went through a wrong encoding."""
     return mojibake.judged(table(spark, d, "items"), _names(spark, d)).where("garbled").select("id")
@@ -107,7 +117,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and callable of every query."""
-    return {f.__name__: f for f in (p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded, p9_found, p9_statistics)}
 
 
 _USABLE = """CASE WHEN regexp_full_match(lower(regexp_replace(mb_albumid, '^\\s+|\\s+$', '', 'g')), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
