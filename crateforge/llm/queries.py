@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateforge.functions.session import table
-from crateforge.llm import duplicates, mojibake, prose, survivors, textform, tokens, variants
+from crateforge.llm import duplicates, mojibake, packing, prose, survivors, textform, tokens, variants
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +105,16 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decoded(tokens.token_ids(table(spark, d, "documents")))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text or piece."""
+    return packing.containers(tokens.token_counts(table(spark, d, "documents")))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Fill of each container."""
+    return p8_containers(spark, d).groupBy("container").agg(F.sum("size").alias("fill"), F.count(F.lit(1)).alias("texts"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are for the greater part not running prose."""
     return prose.judged(table(spark, d, "documents"), table(spark, d, "common_words")).where(~F.col("is_prose")).select("doc_id")
@@ -117,7 +127,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and callable of every query."""
-    return {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_statistics)}
 
 
 _USABLE = """CASE WHEN regexp_full_match(lower(regexp_replace(mb_albumid, '^\\s+|\\s+$', '', 'g')), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')

@@ -100,14 +100,14 @@ def token_ids(documents: DataFrame, directory: str | None = None) -> DataFrame:
 
 
 def token_counts(documents: DataFrame, directory: str | None = None) -> DataFrame:
-    """doc_id, n_tokens of every non-empty text; one row for a repeated row."""
+    """doc_id, h (hash of the text), n_tokens of every non-empty text; one row for a repeated row."""
     docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text") != "")
     seen, rest = _parts(docs, directory)
     gathered = written(seen.groupBy("doc_id", "h").agg(F.sum(F.size("ids")).alias("n"), F.collect_list(F.when(F.col("ids").isNull(), F.col("word"))).alias("lacking"), F.count(F.lit(1)).alias("rows"), (F.max("pos") + 1).alias("words")), "counts")
     asked = gathered.where(F.size("lacking") > 0).select("doc_id", "h", F.explode("lacking").alias("word"))
     got = asked.join(rest, "word").groupBy("doc_id", "h").agg(F.sum(F.size("ids")).alias("m"))
     total = gathered.join(got, ["doc_id", "h"], "left").withColumn("total", F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)))
-    return total.select("doc_id", (F.col("total") * F.col("words") / F.col("rows")).cast("bigint").alias("n_tokens"))
+    return total.select("doc_id", "h", (F.col("total") * F.col("words") / F.col("rows")).cast("bigint").alias("n_tokens"))
 
 
 def decoded(ids: DataFrame, directory: str | None = None) -> DataFrame:
