@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateforge.functions.session import table
-from crateforge.llm import duplicates, mojibake, packing, prose, survivors, textform, tokens, variants
+from crateforge.llm import duplicates, matching, mojibake, packing, prose, survivors, textform, tokens, variants
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +44,16 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
     return variants.linked(table(spark, d, "albums"), table(spark, d, "mb_canonical_cache"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a folder and a library row of the same release."""
+    return matching.found(table(spark, d, "folder_results"), table(spark, d, "albums")).select("folder_id", "album_id")
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with their confidence."""
+    return matching.found(table(spark, d, "folder_results"), table(spark, d, "albums"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items whose path went through a wrong encoding."""
     return mojibake.judged(table(spark, d, "items"), _names(spark, d)).where("garbled").select("id")
@@ -127,7 +137,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name and callable of every query."""
-    return {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_matches, p3_found, p3_paths, p4_found, p4_records, p5_found, p5_survivors, p5_members, p6_found, p6_texts, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_statistics)}
 
 
 _USABLE = """CASE WHEN regexp_full_match(lower(regexp_replace(mb_albumid, '^\\s+|\\s+$', '', 'g')), '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}')
