@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return ()
+    from crateforge.operators import text_queries
+
+    return (text_queries,)
 
 
 def queries():
