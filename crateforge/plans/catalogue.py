@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from crateforge.operators import text_queries
+    from crateforge.operators import identity, library, text_queries
 
-    return (text_queries,)
+    return (text_queries, identity, library)
 
 
 def queries():
