@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from crateforge.operators import identity, ledger, library, text_queries
+    from crateforge.operators import identity, ledger, library, search, text_queries
 
-    return (text_queries, identity, library, ledger)
+    return (text_queries, identity, library, ledger, search)
 
 
 def queries():
