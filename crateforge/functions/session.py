@@ -36,3 +36,13 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even partitions for work that is heavy for its bytes.
+
+    Adaptive execution merges partitions by size and would give a few megabytes
+    of rows for a Python function to one task; an explicit number is kept.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
