@@ -97,30 +97,32 @@ SQL["identity_index"] = (
 QUERIES["key_tier"] = lambda s, d: base_identity(_albums(s, d)).select("id", F.when(c("key").startswith("mbrg:") | c("key").startswith("mbid:"), 1).when(c("key").startswith("review:"), 3).otherwise(2).alias("tier"))
 SQL["key_tier"] = _BASE + " SELECT id, CASE WHEN key LIKE 'mbrg:%' OR key LIKE 'mbid:%' THEN 1 WHEN key LIKE 'review:%' THEN 3 ELSE 2 END AS tier FROM b"
 
-# a tenth of the rows stand for incoming candidates, the rest for the library
-_CAND = "id % 10 = 0"
+# rows without a release id stand for incoming candidates, those with one for the library
+
+def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = T.valid_id(c("mb_albumid"))
+    return df.where(~own), df.where(own)
 
 
 def candidate_family(albums: DataFrame) -> DataFrame:
     """cand_id, lib_id: equal key or equal content. The OR is two hash joins and a distinct."""
-    keyed = converged(base_identity(albums)).select("id", "key", "body")
-    cand, lib = keyed.where(_CAND), keyed.where(f"not ({_CAND})")
+    cand, lib = _split(converged(base_identity(albums)))
     pick = lambda on: cand.alias("a").join(lib.alias("b"), c(f"a.{on}") == c(f"b.{on}")).select(c("a.id").alias("cand_id"), c("b.id").alias("lib_id"))
     return pick("key").unionAll(pick("body")).distinct()
 
 
 QUERIES["candidate_family"] = lambda s, d: candidate_family(_albums(s, d))
-SQL["candidate_family"] = _CONV + f" SELECT DISTINCT a.id AS cand_id, b.id AS lib_id FROM v a JOIN v b ON (a.k2 = b.k2 OR a.body = b.body) WHERE a.{_CAND} AND NOT (b.{_CAND})"
+SQL["candidate_family"] = _CONV + f" SELECT DISTINCT a.id AS cand_id, b.id AS lib_id FROM v a JOIN v b ON (a.k2 = b.k2 OR a.body = b.body) WHERE NOT a.m AND b.m"
 
 
 def owned(albums: DataFrame) -> DataFrame:
     """Candidates that the library already holds under the converged key."""
-    keyed = converged(base_identity(albums)).select("id", "key")
-    return keyed.where(_CAND).join(keyed.where(f"not ({_CAND})").select("key"), "key", "left_semi").select("id", "key")
+    cand, lib = _split(converged(base_identity(albums)))
+    return cand.join(lib.select("key"), "key", "left_semi").select("id", "key")
 
 
 QUERIES["owned_semi"] = lambda s, d: owned(_albums(s, d))
-SQL["owned_semi"] = _CONV + f" SELECT id, k2 AS key FROM v WHERE {_CAND} AND k2 IN (SELECT k2 FROM v WHERE NOT ({_CAND}))"
+SQL["owned_semi"] = _CONV + f" SELECT id, k2 AS key FROM v WHERE NOT m AND k2 IN (SELECT k2 FROM v WHERE m)"
 
 
 def _subset(x: Column, y: Column) -> Column:
@@ -133,9 +135,9 @@ def near_duplicates(albums: DataFrame) -> DataFrame:
     The artist key is the join key. Titles of one artist meet each other only
     as distinct titles.
     """
-    n = albums.select("id", T.normalize_artist(c("albumartist")).alias("a"), T.normalize_album(c("album")).alias("t")).where("a <> '' and t <> ''")
-    cand = n.where(_CAND)
-    lib = n.where(f"not ({_CAND})").groupBy("a", "t").agg(F.min("id").alias("lib_id"))
+    n = albums.select("id", "mb_albumid", T.normalize_artist(c("albumartist")).alias("a"), T.normalize_album(c("album")).alias("t")).where("a <> '' and t <> ''")
+    cand, lib = _split(n)
+    lib = lib.groupBy("a", "t").agg(F.min("id").alias("lib_id"))
     words = lambda x: F.array_distinct(F.split(x, "[^\\p{L}\\p{N}]+"))
     m = cand.select("id", "a", c("t").alias("t1")).join(lib.select("a", c("t").alias("t2"), "lib_id"), "a").where("t1 <> t2")
     w1, w2 = words(c("t1")), words(c("t2"))
@@ -147,8 +149,8 @@ def near_duplicates(albums: DataFrame) -> DataFrame:
 QUERIES["near_dup"] = lambda s, d: near_duplicates(_albums(s, d))
 _WL = lambda x: f"list_distinct(string_split_regex({x}, '[^\\p{{L}}\\p{{N}}]+'))"
 _NOT_IN = lambda x, y: f"len(list_filter({_WL(x)}, lambda w: NOT list_contains({_WL(y)}, w))) = 0"
-SQL["near_dup"] = f"""WITH n AS (SELECT id, {T.sql_normalize_artist("albumartist")} AS a, {T.sql_normalize_album("album")} AS t FROM albums), m AS (SELECT * FROM n WHERE a <> '' AND t <> '')
- SELECT x.id AS cand_id, min(y.id) AS lib_id FROM m x JOIN m y ON x.a = y.a AND x.t <> y.t WHERE x.{_CAND} AND NOT (y.{_CAND}) AND (contains(x.t, y.t) OR contains(y.t, x.t) OR (({_NOT_IN("x.t", "y.t")} OR {_NOT_IN("y.t", "x.t")})
+SQL["near_dup"] = f"""WITH n AS (SELECT id, {T.sql_valid_id("mb_albumid")} AS own, {T.sql_normalize_artist("albumartist")} AS a, {T.sql_normalize_album("album")} AS t FROM albums), m AS (SELECT * FROM n WHERE a <> '' AND t <> '')
+ SELECT x.id AS cand_id, min(y.id) AS lib_id FROM m x JOIN m y ON x.a = y.a AND x.t <> y.t WHERE NOT x.own AND y.own AND (contains(x.t, y.t) OR contains(y.t, x.t) OR (({_NOT_IN("x.t", "y.t")} OR {_NOT_IN("y.t", "x.t")})
  AND least(len({_WL("x.t")}), len({_WL("y.t")})) >= 0.5 * greatest(len({_WL("x.t")}), len({_WL("y.t")})))) GROUP BY x.id"""
 
 

@@ -55,7 +55,7 @@ def set_state(ledger: DataFrame, changes: DataFrame, now: float) -> DataFrame:
     return j.withColumn("terminal_at", F.when(ended, F.lit(now)).otherwise(c("terminal_at"))).withColumn("updated_at", F.when(c("to").isNotNull(), F.lit(now)).otherwise(c("updated_at"))).withColumn("state", F.coalesce("to", "state")).drop("to")
 
 
-q("ledger_set_state", lambda s, d: set_state(once(_l(s, d)), once(_l(s, d)).where("id % 3 = 0").select("id", F.when(c("id") % 2 == 0, "completed").otherwise("downloading").alias("state")), NOW).select("id", "state", "terminal_at", "updated_at"), f"SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'completed' ELSE 'downloading' END ELSE state END AS state, CASE WHEN id % 6 = 0 THEN {NOW} ELSE terminal_at END AS terminal_at, CASE WHEN id % 3 = 0 THEN {NOW} ELSE updated_at END AS updated_at FROM {_ONCE}")
+q("ledger_set_state", lambda s, d: set_state(once(_l(s, d)), once(_l(s, d)).where(c("state").isin(*LIVE)).select("id", F.when(c("state") == "downloading", "completed").otherwise("downloading").alias("state")), NOW).select("id", "state", "terminal_at", "updated_at"), f"SELECT id, CASE state WHEN 'downloading' THEN 'completed' WHEN 'queued' THEN 'downloading' ELSE state END AS state, CASE WHEN state = 'downloading' THEN {NOW} ELSE terminal_at END AS terminal_at, CASE WHEN state IN ('queued', 'downloading') THEN {NOW} ELSE updated_at END AS updated_at FROM {_ONCE}")
 
 
 def claims(ledger: DataFrame) -> DataFrame:
@@ -189,15 +189,15 @@ q("canonical_release", lambda s, d: best_release(table(s, d, "mb_canonical_cache
 _c = lambda s, d: table(s, d, "mb_canonical_cache")
 q("mb_track_mode", lambda s, d: _c(s, d).where("canonical_score >= 80").select(c("canonical_mbid").alias("mbid")).distinct().join(table(s, d, "albums").select("id", F.lower(F.trim("mb_albumid")).alias("mbid")), "mbid").join(table(s, d, "items").groupBy(c("album_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id").groupBy("mbid", "n").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("f")).groupBy("mbid").agg(F.max(F.struct("k", (-c("f")).alias("f"), "n"))["n"].alias("tracks")), "WITH t AS (SELECT lower(trim(mb_albumid)) AS mbid, a.id, (SELECT count(*) FROM items i WHERE i.album_id = a.id) AS n FROM albums a), v AS (SELECT mbid, n, count(*) AS k, min(id) AS f FROM t WHERE n > 0 AND mbid IN (SELECT canonical_mbid FROM mb_canonical_cache WHERE canonical_score >= 80) GROUP BY ALL) SELECT mbid, n AS tracks FROM (SELECT *, row_number() OVER (PARTITION BY mbid ORDER BY k DESC, f) AS r FROM v) WHERE r = 1")
 q("wishlist_pending", lambda s, d: once(_l(s, d)).where(c("terminal_at").isNull()).select("id", "artist", "album").orderBy("queued_at", "id"), f"SELECT id, artist, album FROM {_ONCE} WHERE terminal_at IS NULL")
-q("wishlist_add", lambda s, d: once(_l(s, d)).where("id % 4 = 0").join(once(_l(s, d)).where("id % 4 <> 0 and terminal_at is null").select(F.lower("artist").alias("a"), F.lower("album").alias("b")), (F.lower("artist") == c("a")) & (F.lower("album") == c("b")), "left_anti").groupBy(F.lower("artist").alias("a"), F.lower("album").alias("b")).agg(F.min("id").alias("id")), f"SELECT lower(artist) AS a, lower(album) AS b, min(id) AS id FROM {_ONCE} l WHERE id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM slskd_ledger p WHERE p.id % 4 <> 0 AND p.terminal_at IS NULL AND lower(p.artist) = lower(l.artist) AND lower(p.album) = lower(l.album)) GROUP BY ALL")
+q("wishlist_add", lambda s, d: once(_l(s, d)).where("terminal_at is not null").join(once(_l(s, d)).where("terminal_at is null").select(F.lower("artist").alias("a"), F.lower("album").alias("b")), (F.lower("artist") == c("a")) & (F.lower("album") == c("b")), "left_anti").groupBy(F.lower("artist").alias("a"), F.lower("album").alias("b")).agg(F.min("id").alias("id")), f"SELECT lower(artist) AS a, lower(album) AS b, min(id) AS id FROM {_ONCE} l WHERE terminal_at IS NOT NULL AND NOT EXISTS (SELECT 1 FROM slskd_ledger p WHERE p.terminal_at IS NULL AND lower(p.artist) = lower(l.artist) AND lower(p.album) = lower(l.album)) GROUP BY ALL")
 q("wishlist_update", lambda s, d: upsert(_f(s, d).select("folder_name", "last_queued", "updated_at"), _f(s, d).where("queued_files > 2").select("folder_name", F.lit(NOW).alias("last_queued"), F.lit(NOW).alias("updated_at")), "folder_name"), f"SELECT folder_name, CASE WHEN queued_files > 2 THEN {NOW} ELSE last_queued END AS last_queued, CASE WHEN queued_files > 2 THEN {NOW} ELSE updated_at END AS updated_at FROM fill_attempts")
 
 # ---- outbox over the event stream -------------------------------------------------------------------------------
 
 
 def outbox(events: DataFrame) -> DataFrame:
-    """Events as notifications; one in five is delivered."""
-    return events.select(c("event_id").alias("id"), c("event_type").alias("event"), c("props").alias("payload"), F.unix_micros(F.to_timestamp("ts")).alias("created_us"), (c("event_id") % 5 == 0).alias("delivered"), c("user_id").alias("folder"))
+    """Events as notifications; those of one type are delivered."""
+    return events.select(c("event_id").alias("id"), c("event_type").alias("event"), c("props").alias("payload"), F.unix_micros(F.to_timestamp("ts")).alias("created_us"), (c("event_type") == "signup").alias("delivered"), c("user_id").alias("folder"))
 
 
 def batched(box: DataFrame, least: int) -> DataFrame:
@@ -210,8 +210,8 @@ def batched(box: DataFrame, least: int) -> DataFrame:
 
 
 _e = lambda s, d: table(s, d, "events")
-q("notify_batches", lambda s, d: batched(outbox(_e(s, d)), 3), "WITH o AS (SELECT event_type AS event, user_id AS folder, event_id AS id FROM events WHERE event_id % 5 <> 0), g AS (SELECT event, folder, count(*) AS n, min(id) AS first_id FROM o GROUP BY ALL) SELECT event, folder, n, first_id FROM g WHERE n >= 3 UNION ALL SELECT o.event, o.folder, 1, id FROM o JOIN g ON o.event = g.event AND o.folder = g.folder WHERE g.n < 3")
-q("mark_delivered", lambda s, d: outbox(_e(s, d)).select("id", (c("delivered") | (c("created_us") < 1704672000000000)).alias("delivered")), "SELECT event_id AS id, (event_id % 5 = 0 OR ts < TIMESTAMP '2024-01-08 00:00:00') AS delivered FROM events")
+q("notify_batches", lambda s, d: batched(outbox(_e(s, d)), 3), "WITH o AS (SELECT event_type AS event, user_id AS folder, event_id AS id FROM events WHERE event_type <> 'signup'), g AS (SELECT event, folder, count(*) AS n, min(id) AS first_id FROM o GROUP BY ALL) SELECT event, folder, n, first_id FROM g WHERE n >= 3 UNION ALL SELECT o.event, o.folder, 1, id FROM o JOIN g ON o.event = g.event AND o.folder = g.folder WHERE g.n < 3")
+q("mark_delivered", lambda s, d: outbox(_e(s, d)).select("id", (c("delivered") | (c("created_us") < 1704672000000000)).alias("delivered")), "SELECT event_id AS id, (event_type = 'signup' OR ts < TIMESTAMP '2024-01-08 00:00:00') AS delivered FROM events")
 q("digest_events_by_type", lambda s, d: _e(s, d).where(c("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp_ntz")).groupBy(c("event_type").alias("event")).agg(F.count(F.lit(1)).alias("n")), "SELECT event_type AS event, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY event_type")
 q("render_message", lambda s, d: _e(s, d).select("event_id", F.substring(F.when(c("event_type") == "error", F.concat(F.lit("failed: "), F.coalesce("props", F.lit("")))).when(c("event_type") == "purchase", F.concat_ws(" ", F.lit("bought by"), c("user_id").cast("string"))).otherwise(F.concat_ws(": ", "event_type", "props")), 1, 3900).alias("text")), "SELECT event_id, substr(CASE WHEN event_type = 'error' THEN 'failed: ' || coalesce(props, '') WHEN event_type = 'purchase' THEN 'bought by ' || user_id ELSE concat_ws(': ', event_type, props) END, 1, 3900) AS text FROM events")
 

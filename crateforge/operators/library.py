@@ -250,8 +250,15 @@ def match_cascade(incoming: DataFrame, library: DataFrame) -> DataFrame:
     return best.select(c("iid").alias("incoming_id"), c("m.lid").alias("library_id"), c("m.level").alias("level"))
 
 
+def _halves(s, d):
+    """Items of rows without a release id, as incoming ones, and of rows with one."""
+    own = _a(s, d).select(c("id").alias("album_id"), T.valid_id(c("mb_albumid")).alias("own"))
+    pick = lambda k: _i(s, d).join(own.where(c("own") == k), "album_id", "left_semi")
+    return pick(False), pick(True)
+
+
 _P = lambda p: f"id AS {p}id, coalesce(disc, 0) AS {p}d, coalesce(track, 0) AS {p}t, {sql_canon('title')} AS {p}k, {sql_canon('album')} AS {p}a, CASE lower(format) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANK.items()) + f" ELSE 0 END * 1000000 + coalesce(bitrate, 0) AS {p}s"
-q("track_match_cascade", lambda s, d: match_cascade(_i(s, d).where("id % 20 = 0"), _i(s, d).where("id % 20 <> 0")), f"""WITH i AS (SELECT {_P("i")} FROM items WHERE id % 20 = 0), l AS (SELECT {_P("l")} FROM items WHERE id % 20 <> 0),
+q("track_match_cascade", lambda s, d: match_cascade(*_halves(s, d)), f"""WITH own AS (SELECT id, {T.sql_valid_id("mb_albumid")} AS m FROM albums), i AS (SELECT {_P("i")} FROM items WHERE album_id IN (SELECT id FROM own WHERE NOT m)), l AS (SELECT {_P("l")} FROM items WHERE album_id IN (SELECT id FROM own WHERE m)),
  u AS (SELECT iid, 1 AS lv, ls, lid FROM i JOIN l ON ia = la AND id = ld AND it = lt AND ik = lk UNION ALL SELECT iid, 2, ls, lid FROM i JOIN l ON ia = la AND it = lt WHERE it > 0 UNION ALL SELECT iid, 3, ls, lid FROM i JOIN l ON ia = la AND ik = lk WHERE ik <> ''),
  r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY lv, ls DESC, lid) AS k FROM u) SELECT iid AS incoming_id, lid AS library_id, lv AS level FROM r WHERE k = 1""")
 
