@@ -21,7 +21,7 @@ _CREDIT = re.compile(r"\s+(?:feat\.?|featuring|ft\.?|presents|pres\.|vs\.?)\s+.*
 _VARIOUS = frozenset(("va", "various", "various artists", "various artist", "v a", "vv aa", "diverse", "compilation"))
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def fold(s: str) -> str:
     """Lower case without accents, in Latin letters; look-alikes repaired."""
     s = loosely(s).casefold().replace("й", "j").replace("ё", "jo")
@@ -33,13 +33,13 @@ ENOUGH = 0.72
 _TOKENS = re.compile(r"[^\W_]+")
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def tokens(s: str) -> tuple[str, ...]:
     """Words of the folded text; an apostrophe is no border."""
     return tuple(_TOKENS.findall(re.sub(r"(?<=\w)['’`´](?=\w)", "", fold(s))))
 
 
-@lru_cache(400_000)
+@lru_cache(20_000)
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     if len(a) > len(b):
@@ -63,7 +63,7 @@ def ratio(a: str, b: str) -> float:
 _BRACKET = re.compile(r"[(\[{]([^()\[\]{}]*)[)\]}]")
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def _edition(w: str) -> str | None:
     """The edition word meant by a shortened or misspelled one."""
     if w in EDITIONS:
@@ -74,7 +74,7 @@ def _edition(w: str) -> str | None:
     return None
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def title_parts(s: str) -> tuple[tuple[str, ...], frozenset[str], int | None]:
     """(words of the bare title, edition words, number of the volume)."""
     t = list(tokens(s))
@@ -109,7 +109,7 @@ def title_parts(s: str) -> tuple[tuple[str, ...], frozenset[str], int | None]:
     return tuple(t), frozenset(edition), number
 
 
-@lru_cache(200_000)
+@lru_cache(20_000)
 def artist_words(s: str) -> tuple[str, ...]:
     """Words of the artist's name, without the guests credited after it and without a leading or trailing article."""
     t = tokens(_CREDIT.sub("", s))
@@ -142,7 +142,7 @@ def aligned(a: tuple[str, ...], b: tuple[str, ...], light: frozenset[str]) -> fl
     return total / weight
 
 
-@lru_cache(400_000)
+@lru_cache(50_000)
 def _near(w: str, z: str) -> float:
     if w == z:
         return 1.0
