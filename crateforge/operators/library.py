@@ -14,7 +14,12 @@ QUERIES, SQL = {}, {}
 c = F.col
 # Formats without loss.
 LOSSLESS = ("flac", "alac", "wav", "aiff", "ape", "wv")
-_LL = F.lower("format").isin(*LOSSLESS)
+
+
+def _lossless() -> Column:
+    return F.lower("format").isin(*LOSSLESS)
+
+
 _SLL = "lower(format) IN (" + ", ".join(f"'{x}'" for x in LOSSLESS) + ")"
 
 
@@ -58,7 +63,7 @@ q("library_candidates", lambda s, d: _i(s, d).join(_a(s, d).select(c("id").alias
 def album_quality(items: DataFrame) -> DataFrame:
     """Quality of each album in one aggregation: all lossless, least depth, rate and bitrate (0 means unknown), number of formats."""
     known = lambda n: F.min(F.when(c(n) > 0, c(n)))
-    return items.groupBy("album_id").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.bool_and(_LL), F.lit(False)).alias("lossless_all"), known("bitdepth").alias("min_bitdepth"), known("samplerate").alias("min_samplerate"), known("bitrate").alias("min_bitrate"), F.count_distinct(F.lower("format")).alias("n_codecs"), F.array_join(F.sort_array(F.collect_set(F.lower("format"))), ",").alias("codecs"))
+    return items.groupBy("album_id").agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.bool_and(_lossless()), F.lit(False)).alias("lossless_all"), known("bitdepth").alias("min_bitdepth"), known("samplerate").alias("min_samplerate"), known("bitrate").alias("min_bitrate"), F.count_distinct(F.lower("format")).alias("n_codecs"), F.array_join(F.sort_array(F.collect_set(F.lower("format"))), ",").alias("codecs"))
 
 
 _QUAL = f"SELECT album_id, count(*) AS n_files, coalesce(bool_and({_SLL}), false) AS lossless_all, min(CASE WHEN bitdepth > 0 THEN bitdepth END) AS min_bitdepth, min(CASE WHEN samplerate > 0 THEN samplerate END) AS min_samplerate, min(CASE WHEN bitrate > 0 THEN bitrate END) AS min_bitrate, count(DISTINCT lower(format)) AS n_codecs, coalesce(array_to_string(list_sort(list_distinct(list(lower(format)) FILTER (format IS NOT NULL))), ','), '') AS codecs FROM items GROUP BY album_id"
@@ -70,7 +75,7 @@ def slot_best(items: DataFrame) -> DataFrame:
     t = items.where(c("track").isNotNull()).withColumn("slot_disc", F.greatest(F.coalesce("disc", F.lit(1)), F.lit(1)))
     keys = ["album_id", "slot_disc", "track"]
     agree = t.groupBy(*keys).agg(F.count_distinct(F.coalesce(T.normalize_track(c("title")), F.lit(""))).alias("titles"), F.count(F.lit(1)).alias("copies"))
-    w = Window.partitionBy(*keys).orderBy(F.when(_LL, 0).otherwise(1), F.desc(F.coalesce("bitdepth", F.lit(0))), F.desc(F.coalesce("samplerate", F.lit(0))), F.desc(F.coalesce("bitrate", F.lit(0))), "id")
+    w = Window.partitionBy(*keys).orderBy(F.when(_lossless(), 0).otherwise(1), F.desc(F.coalesce("bitdepth", F.lit(0))), F.desc(F.coalesce("samplerate", F.lit(0))), F.desc(F.coalesce("bitrate", F.lit(0))), "id")
     best = t.withColumn("r", F.row_number().over(w)).where("r = 1").select(*keys, c("id").alias("best_id"))
     return best.join(agree.where("titles = 1"), keys).select(*keys, "best_id", (c("copies") - 1).alias("losers"))
 
@@ -200,8 +205,7 @@ def prune_plan(items: DataFrame, present: Column) -> DataFrame:
     return g.select("album_id", "total", "gone", F.when(c("gone") == c("total"), "PRUNE_ALBUM").otherwise("PRUNE_ITEMS").alias("route"))
 
 
-_PRESENT = F.col("path").isNotNull()
-q("prune_plan", lambda s, d: prune_plan(_i(s, d), _PRESENT), "SELECT album_id, count(*) AS total, count(*) FILTER (path IS NULL) AS gone, CASE WHEN count(*) = count(*) FILTER (path IS NULL) THEN 'PRUNE_ALBUM' ELSE 'PRUNE_ITEMS' END AS route FROM items GROUP BY album_id HAVING count(*) FILTER (path IS NULL) > 0")
+q("prune_plan", lambda s, d: prune_plan(_i(s, d), F.col("path").isNotNull()), "SELECT album_id, count(*) AS total, count(*) FILTER (path IS NULL) AS gone, CASE WHEN count(*) = count(*) FILTER (path IS NULL) THEN 'PRUNE_ALBUM' ELSE 'PRUNE_ITEMS' END AS route FROM items GROUP BY album_id HAVING count(*) FILTER (path IS NULL) > 0")
 q("mass_missing_guard", lambda s, d: _i(s, d).agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("path").isNull().cast("int")).alias("gone")).select("total", "gone", ((c("total") > 0) & (c("gone") / F.nullif(c("total"), F.lit(0)) > 0.3)).alias("stop")), "SELECT count(*) AS total, count(*) FILTER (path IS NULL) AS gone, (count(*) > 0 AND count(*) FILTER (path IS NULL) / nullif(count(*), 0) > 0.3) AS stop FROM items")
 q("orphan_albums", lambda s, d: _a(s, d).join(_i(s, d).select(c("album_id").alias("id")), "id", "left_anti").select("id"), "SELECT id FROM albums WHERE id NOT IN (SELECT album_id FROM items WHERE album_id IS NOT NULL)")
 q("new_ids_except", lambda s, d: _i(s, d).where("added >= 1700000000 and id > 4000").select("album_id").distinct().subtract(_i(s, d).where("id <= 4000").select("album_id")), "SELECT DISTINCT album_id FROM items WHERE added >= 1700000000 AND id > 4000 EXCEPT SELECT album_id FROM items WHERE id <= 4000")
@@ -233,7 +237,7 @@ def tag_coalesce(attrs: DataFrame) -> DataFrame:
 
 
 q("tag_coalesce", lambda s, d: tag_coalesce(table(s, d, "album_attributes")), "SELECT entity_id, coalesce(min(value) FILTER (key = 'mood'), min(value) FILTER (key = 'shelf'), min(value) FILTER (key = 'data_source')) AS tag FROM album_attributes WHERE trim(value) <> '' GROUP BY entity_id")
-q("probe_derive", lambda s, d: _i(s, d).select("id", (c("format").isNotNull() & (F.coalesce("bitrate", F.lit(0)) > 0)).alias("ok"), F.coalesce(_LL, F.lit(False)).alias("lossless"), (F.coalesce(_LL, F.lit(False)) & (F.coalesce("bitrate", F.lit(0)) < 400000) & (F.coalesce("bitrate", F.lit(0)) > 0)).alias("mislabeled")), f"SELECT id, (format IS NOT NULL AND coalesce(bitrate, 0) > 0) AS ok, coalesce({_SLL}, false) AS lossless, (coalesce({_SLL}, false) AND coalesce(bitrate, 0) < 400000 AND coalesce(bitrate, 0) > 0) AS mislabeled FROM items")
+q("probe_derive", lambda s, d: _i(s, d).select("id", (c("format").isNotNull() & (F.coalesce("bitrate", F.lit(0)) > 0)).alias("ok"), F.coalesce(_lossless(), F.lit(False)).alias("lossless"), (F.coalesce(_lossless(), F.lit(False)) & (F.coalesce("bitrate", F.lit(0)) < 400000) & (F.coalesce("bitrate", F.lit(0)) > 0)).alias("mislabeled")), f"SELECT id, (format IS NOT NULL AND coalesce(bitrate, 0) > 0) AS ok, coalesce({_SLL}, false) AS lossless, (coalesce({_SLL}, false) AND coalesce(bitrate, 0) < 400000 AND coalesce(bitrate, 0) > 0) AS mislabeled FROM items")
 
 
 def match_cascade(incoming: DataFrame, library: DataFrame) -> DataFrame:

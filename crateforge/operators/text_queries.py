@@ -49,7 +49,6 @@ pair("path_parts", "folder_results", ["folder_id"], {"name": lambda: T.base_name
 
 _CUT = r" [^ ]*$"
 _long = lambda q: F.when(F.length(q) > 60, F.regexp_replace(F.substring(q, 1, 60), _CUT, "")).otherwise(q)
-_both = F.trim(F.concat_ws(" ", "artist", "album"))
 pair("build_query", "slskd_ledger", ["id"], {"q": lambda: _long(F.trim(F.concat_ws(" ", c("artist"), c("album"))))}, {"q": f"CASE WHEN length(trim(concat_ws(' ', artist, album))) > 60 THEN regexp_replace(substr(trim(concat_ws(' ', artist, album)), 1, 60), '{_CUT}', '') ELSE trim(concat_ws(' ', artist, album)) END"})
 
 
@@ -123,8 +122,6 @@ add(
  CASE WHEN p > 0 AND NOT regexp_matches(l, '{_PSEUDO}') THEN trim(regexp_replace(trim(substr(n, p + 3)), '^[0-9]{{4}}[-\\s,]+', '')) ELSE n END AS album FROM y""",
 )
 
-_file = lambda: F.explode_outer("files")
-
 
 def _files(spark, d):
     return table(spark, d, "folder_results").select("folder_id", F.posexplode("files").alias("pos", "f"))
@@ -198,8 +195,7 @@ _RANK = "CASE lower(coalesce(format, '')) " + " ".join(f"WHEN '{k}' THEN {v}" fo
 pair("quality_score", "items", ["id"], {"score": quality_score}, {"score": f"CAST({_RANK} * 10000 + coalesce(bitrate, 0) // 1000 * 10 + coalesce(samplerate, 0) // 10 + coalesce(bitdepth, 0) * 100 AS INT)"})
 pair("abs_path", "folder_results", ["folder_id"], {"p": lambda: F.when(c("directory").startswith("/"), c("directory")).otherwise(F.concat(F.lit("/library/"), c("directory")))}, {"p": "CASE WHEN starts_with(directory, '/') THEN directory ELSE '/library/' || directory END"})
 NOW = 1_767_225_600.0
-_age = F.lit(NOW) - F.col("last_queued")
-pair("time_ago", "fill_attempts", ["folder_name"], {"ago": lambda: F.when(c("last_queued") <= 0, "never").when(_age < 3600, F.concat(F.floor(_age / 60).cast("string"), F.lit("m"))).when(_age < 86400, F.concat(F.floor(_age / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(_age / 86400).cast("string"), F.lit("d")))}, {"ago": f"CASE WHEN last_queued <= 0 THEN 'never' WHEN {NOW} - last_queued < 3600 THEN CAST(floor(({NOW} - last_queued) / 60) AS BIGINT) || 'm' WHEN {NOW} - last_queued < 86400 THEN CAST(floor(({NOW} - last_queued) / 3600) AS BIGINT) || 'h' ELSE CAST(floor(({NOW} - last_queued) / 86400) AS BIGINT) || 'd' END"})
+pair("time_ago", "fill_attempts", ["folder_name"], {"ago": lambda: F.when(c("last_queued") <= 0, "never").when((F.lit(NOW) - c("last_queued")) < 3600, F.concat(F.floor((F.lit(NOW) - c("last_queued")) / 60).cast("string"), F.lit("m"))).when((F.lit(NOW) - c("last_queued")) < 86400, F.concat(F.floor((F.lit(NOW) - c("last_queued")) / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor((F.lit(NOW) - c("last_queued")) / 86400).cast("string"), F.lit("d")))}, {"ago": f"CASE WHEN last_queued <= 0 THEN 'never' WHEN {NOW} - last_queued < 3600 THEN CAST(floor(({NOW} - last_queued) / 60) AS BIGINT) || 'm' WHEN {NOW} - last_queued < 86400 THEN CAST(floor(({NOW} - last_queued) / 3600) AS BIGINT) || 'h' ELSE CAST(floor(({NOW} - last_queued) / 86400) AS BIGINT) || 'd' END"})
 _BAD = "[^a-zA-Z0-9._-]"
 
 
