@@ -262,7 +262,7 @@ def carried(documents: DataFrame) -> DataFrame:
 
 
 q("header_carry_forward", lambda s, d: carried(table(s, d, "documents")), r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
- h AS (SELECT *, last_value(CASE WHEN NOT regexp_matches(line, '^\s*[*-] ') AND trim(line) <> '' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM l) SELECT doc_id, CAST(pos AS INT) AS pos, head FROM h WHERE regexp_matches(line, '^\s*[*-] ')""")
+ h AS (SELECT *, last_value(CASE WHEN NOT regexp_matches(line, '^\s*[*-] ') AND trim(line, ' ') <> '' THEN trim(line, ' ') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM l) SELECT doc_id, CAST(pos AS INT) AS pos, head FROM h WHERE regexp_matches(line, '^\s*[*-] ')""")
 q("dedup_keep_first", lambda s, d: once(_l(s, d)).groupBy(F.lower("artist").alias("a"), F.lower("album").alias("b")).agg(F.min("id").alias("id")), f"SELECT lower(artist) AS a, lower(album) AS b, min(id) AS id FROM {_ONCE} GROUP BY ALL")
 q("needs_match", lambda s, d: table(s, d, "documents").where(c("album_id").isNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) < 80)).select("doc_id"), "SELECT doc_id FROM documents WHERE album_id IS NULL AND length(trim(coalesce(text, ''))) < 80")
 q("match_counters", lambda s, d: cache_lookup(_asked(s, d), _c(s, d), NOW, 300).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")), f"SELECT outcome, count(*) AS n FROM ({SQL['cache_lookup']}) AS x GROUP BY outcome")
