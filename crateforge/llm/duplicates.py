@@ -156,25 +156,20 @@ def made_of(parts: list[str], whole: str) -> bool:
     """``whole`` is ``parts`` in some order, each part once and unbroken."""
     if sum(map(len, parts)) != len(whole):
         return False
-    if len(parts) > 12:
-        return "".join(parts) == whole
-    dead: set[tuple[int, int]] = set()
-
-    def go(at: int, left: int) -> bool:
-        if not left:
-            return at == len(whole)
-        if (at, left) in dead:
-            return False
-        tried = set()
-        for i, p in enumerate(parts):
-            if left >> i & 1 and p not in tried and whole.startswith(p, at):
-                tried.add(p)
-                if go(at + len(p), left & ~(1 << i)):
-                    return True
-        dead.add((at, left))
-        return False
-
-    return go(0, (1 << len(parts)) - 1)
+    kinds = sorted(set(parts))
+    start = (0, tuple(parts.count(k) for k in kinds))
+    seen, todo = {start}, [start]
+    while todo:
+        at, left = todo.pop()
+        if at == len(whole):
+            return True
+        for i, p in enumerate(kinds):
+            if left[i] and whole.startswith(p, at):
+                after = (at + len(p), left[:i] + (left[i] - 1,) + left[i + 1 :])
+                if after not in seen:
+                    seen.add(after)
+                    todo.append(after)
+    return False
 
 
 def same_record(x: str, y: str) -> bool:

@@ -48,3 +48,10 @@ def test_collapsed_counts_copies_and_empty_tables(spark):
 def test_made_of_keeps_parts_whole():
     assert d.made_of(["ab", "cd", "1999"], "cd1999ab")
     assert not d.made_of(["ab", "cd"], "abdc")
+
+
+def test_made_of_reorders_long_lists():
+    parts = [f"w{chr(97 + i)}" for i in range(13)]
+    assert d.made_of(parts, "".join(reversed(parts)))
+    assert not d.made_of(parts, "".join(parts[:-1]) + "zz")
+    assert d.made_of(["a", "aa"] * 20, "a" * 60)
