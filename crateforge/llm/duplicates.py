@@ -3,7 +3,7 @@
 Method: each normalised (field name, value) pair is hashed, the hashes of a
 record are combined by a commutative multiset hash (two lanes of sums), records
 are grouped by that fingerprint, and equality of the fields is verified inside a
-fingerprint without sorting anything.
+fingerprint by hashing them, without sorting anything.
 
 Album fields may change places, so both carry one field name. The borders of the
 parts of a folder name are often gone, so its hashed values are its single
@@ -23,6 +23,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crateforge.functions.session import written
+
 SEEDS = (11, 1_000_003)
 
 
@@ -94,25 +96,17 @@ def album_writings(albums: DataFrame) -> DataFrame:
     return filled.withColumn("fp", multiset_hash([("name", F.col("key_a")), ("name", F.col("key_b"))]))
 
 
-def same_fields(x: str, y: str) -> Column:
-    """The two fields of ``x`` equal those of ``y`` in either order."""
-    a, b, c, d = F.col(f"{x}.key_a"), F.col(f"{x}.key_b"), F.col(f"{y}.key_a"), F.col(f"{y}.key_b")
-    return ((a == c) & (b == d)) | ((a == d) & (b == c))
-
-
 def album_classes(albums: DataFrame) -> DataFrame:
     """id, raw_a, raw_b, fp, side: rows of one class have equal (fp, side).
 
-    The writing with the smallest squeezed fields represents a fingerprint; rows
-    that do not verify against it (a collision of 112 bits) form classes of
-    their own fields.
+    Fields are verified by hashing, without sorting: rows of a fingerprint are
+    grouped by their two fields in fixed order. Where one fingerprint (112 bits)
+    holds different fields, their classes are told apart by the fields.
     """
-    w = album_writings(albums)
-    reps = w.groupBy("fp").agg(F.min(F.struct("key_a", "key_b")).alias("rep"))
-    joined = w.join(reps, "fp")
-    ok = ((F.col("key_a") == F.col("rep.key_a")) & (F.col("key_b") == F.col("rep.key_b"))) | ((F.col("key_a") == F.col("rep.key_b")) & (F.col("key_b") == F.col("rep.key_a")))
-    side = F.when(ok, F.lit("")).otherwise(F.concat_ws("\u0001", F.least("key_a", "key_b"), F.greatest("key_a", "key_b")))
-    return joined.select("id", "raw_a", "raw_b", "fp", side.alias("side"))
+    w = written(album_writings(albums).withColumn("lo", F.least("key_a", "key_b")).withColumn("hi", F.greatest("key_a", "key_b")).drop("key_a", "key_b"), "writings")
+    clash = w.groupBy("fp", "lo", "hi").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", F.lit(True).alias("clash"))
+    side = F.when(F.col("clash"), F.concat_ws("\u0001", "lo", "hi")).otherwise(F.lit(""))
+    return w.join(clash, "fp", "left").select("id", "raw_a", "raw_b", "fp", side.alias("side"))
 
 
 def album_pairs(albums: DataFrame) -> DataFrame:
@@ -121,7 +115,7 @@ def album_pairs(albums: DataFrame) -> DataFrame:
     Exact copies are collapsed to a writing first; writings of a class meet each
     other, then each side is expanded to its ids.
     """
-    c = album_classes(albums)
+    c = written(album_classes(albums), "classes")
     writing = F.xxhash64("raw_a", "raw_b")
     c = c.withColumn("w", writing)
     distinct = c.select("fp", "side", "raw_a", "raw_b", "w").distinct()
@@ -192,30 +186,41 @@ def folder_classes(folders: DataFrame) -> DataFrame:
 
     Names with one squeezed form are one writing and never multiply. A form is
     stood for by its most articulate name (most separators), whose parts the
-    others must be made of. The class is the smallest form reached over two
-    verified links, as two names without separators can only meet through a
-    third that has them.
+    others must be made of. Only the orders of the parts of a record make forms
+    of one fingerprint, so their number does not grow with the copies. The class
+    is the smallest form reached over verified links, followed until nothing
+    changes, as names without separators can only meet through others.
     """
     named = with_keys(folders.select("folder_name"), n="folder_name").drop("raw_n").where(F.col("key_n") != "")
     seps = F.length(F.regexp_replace("folder_name", r"[\p{L}\p{N}\s]", ""))
     forms = named.groupBy("key_n").agg(F.max_by("folder_name", F.struct(seps, "folder_name")).alias("said"))
-    forms = forms.withColumn("fp", char_multiset_hash("char", F.col("key_n")))
+    forms = written(forms.withColumn("fp", char_multiset_hash("char", F.col("key_n"))), "forms")
     x = forms.select("fp", F.col("key_n").alias("kx"), F.col("said").alias("rx"))
     y = forms.select("fp", F.col("key_n").alias("ky"), F.col("said").alias("ry"))
     met = x.join(y, "fp").where(F.col("kx") < F.col("ky"))
-    sure = met.mapInArrow(_verify, met.schema).select("fp", "kx", "ky")
-    links = sure.unionByName(sure.select("fp", F.col("ky").alias("kx"), F.col("kx").alias("ky")))
-    cls = forms.select("fp", F.col("key_n").alias("kx"), F.col("key_n").alias("cls"))
-    for _ in range(2):
-        seen = links.join(cls.select(F.col("kx").alias("ky"), "cls"), "ky").select("fp", "kx", "cls")
-        cls = cls.unionByName(seen).groupBy("fp", "kx").agg(F.min("cls").alias("cls"))
-    return cls.withColumnRenamed("kx", "key")
+    sure = written(met.mapInArrow(_verify, met.schema).select("kx", "ky"), "links")
+    return forms.select("fp", F.col("key_n").alias("key")).join(closed(sure).withColumnRenamed("k", "key"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+
+
+def closed(links: DataFrame) -> DataFrame:
+    """k, cls: the smallest key that each key of ``links`` (kx, ky) is connected with."""
+    both = links.unionByName(links.select(F.col("ky").alias("kx"), F.col("kx").alias("ky")))
+    cls = written(both.groupBy(F.col("kx").alias("k")).agg(F.least("k", F.min("ky")).alias("cls")), "labels")
+    while True:
+        # the label of a neighbour, and the label of the own label
+        near = both.join(cls.select(F.col("k").alias("ky"), "cls"), "ky").select(F.col("kx").alias("k"), F.col("cls").alias("to"))
+        far = cls.join(cls.select(F.col("k").alias("cls"), F.col("cls").alias("to")), "cls").select("k", "to")
+        best = near.unionByName(far).groupBy("k").agg(F.min("to").alias("to"))
+        now = written(cls.join(best, "k", "left").select("k", F.least("cls", "to").alias("cls"), (F.col("to") < F.col("cls")).alias("moved")), "labels")
+        if not now.where("moved").limit(1).count():
+            return now.select("k", "cls")
+        cls = now.select("k", "cls")
 
 
 def folder_pairs(folders: DataFrame) -> DataFrame:
     """All pairs of differently written copies among held folders, key_a < key_b by code point."""
     named = with_keys(folders.select("folder_name").distinct(), n="folder_name").drop("raw_n").where(F.col("key_n") != "")
-    member = named.join(folder_classes(folders).select(F.col("key").alias("key_n"), "cls"), "key_n").select("cls", "folder_name")
+    member = written(named.join(folder_classes(folders).select(F.col("key").alias("key_n"), "cls"), "key_n").select("cls", "folder_name"), "members")
     x, y = member.alias("x"), member.alias("y")
     met = x.join(y, (F.col("x.cls") == F.col("y.cls")) & (F.col("x.folder_name") < F.col("y.folder_name")))
     return met.select(F.col("x.folder_name").alias("key_a"), F.col("y.folder_name").alias("key_b"))

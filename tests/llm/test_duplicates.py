@@ -55,3 +55,20 @@ def test_made_of_reorders_long_lists():
     assert d.made_of(parts, "".join(reversed(parts)))
     assert not d.made_of(parts, "".join(parts[:-1]) + "zz")
     assert d.made_of(["a", "aa"] * 20, "a" * 60)
+
+
+def test_classes_follow_chains_of_any_length(spark):
+    links = spark.createDataFrame([(f"k{i}", f"k{i + 1}") for i in range(1, 9)] + [("z1", "z2")], "kx string, ky string")
+    got = {r.k: r.cls for r in d.closed(links).collect()}
+    assert got == {f"k{i}": "k1" for i in range(1, 10)} | {"z1": "z1", "z2": "z1"}
+    assert d.closed(links.limit(0)).count() == 0
+
+
+def test_verification_of_albums_does_not_sort(spark):
+    a = spark.createDataFrame([(1, "A", "B", 1, "")], ALBUM)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = d.album_classes(a)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "SortAggregate" not in plan
