@@ -2,10 +2,12 @@
 
 Method: grouping genetic algorithm. A solution is a set of containers; crossover
 injects whole well-filled containers of one parent into the other, drops the
-containers that hold duplicates, and best-fits the displaced texts. Blocks of
-texts evolve on several islands at once; after each epoch every island passes
-its elite to the next one. What the best island of each block leaves in poorly
-filled containers is pooled over all blocks and packed again.
+containers that hold duplicates, and best-fits the displaced texts after single
+ones changed places with those of a container. Blocks of texts evolve on several
+islands at once, from random orders; after each epoch every island passes its
+elite to the next one. A block that has reached the lower bound of its containers
+is done. What the best island of each block leaves in poorly filled containers is
+pooled over all blocks and packed again.
 
 A text above the capacity is cut into full pieces and one rest; only such texts
 are cut. Blocks have a bounded number of texts whatever the corpus, chosen by
@@ -18,16 +20,17 @@ error.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.functions.session import written
+from crateforge.functions.session import spread, written
 
 CAPACITY = 2048
 BLOCK = 1500
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 5
+#: Islands of a block, epochs with a migration between them, solutions on an island, generations of an epoch, and after how many without a better one it ends.
+ISLANDS, EPOCHS, POPULATION, GENERATIONS, STALE = 3, 2, 8, 60, 20
 #: Containers filled to less than this share are emptied and packed again with those of other blocks, at most so many times.
 POOR, ROUNDS = 0.985, 4
 
@@ -52,8 +55,34 @@ def fitness(sizes, bins, capacity):
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / len(bins) if bins else 1.0
 
 
+def exchange(sizes, bins, displaced, capacity):
+    """Displaced items, after one or two items of a container gave way to a displaced one that fills it better: what is left to place is smaller."""
+    loose = sorted((sizes[i], i) for i in displaced)
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        if not room or not loose:
+            continue
+        best = (0, None, None)
+        groups = [(sizes[i], (i,)) for i in b]
+        groups += [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(b) for j in b[:k]]
+        for size, out in groups:
+            at = bisect_right(loose, (size + room, len(sizes)))
+            if at and loose[at - 1][0] - size > best[0]:
+                best = (loose[at - 1][0] - size, out, at - 1)
+                if best[0] == room:
+                    break
+        gain, out, at = best
+        if gain:
+            _, i = loose.pop(at)
+            for j in out:
+                b.remove(j)
+                insort(loose, (sizes[j], j))
+            b.append(i)
+    return [i for _, i in reversed(loose)]
+
+
 def crossover(sizes, mother, father, capacity, rng):
-    """A child of ``mother`` with whole well-filled containers of ``father``."""
+    """A child of ``mother`` with whole well-filled containers of ``father``; the displaced items are put where they fit best."""
     fill = lambda b: sum(sizes[i] for i in b)
     ranked = sorted(father, key=fill, reverse=True)
     top = ranked[: max(1, len(ranked) // 2)]
@@ -65,37 +94,45 @@ def crossover(sizes, mother, father, capacity, rng):
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in given]
-    # the emptiest of the kept containers are opened too, so that their texts find better places
+    # the emptiest of the kept containers and one by chance are opened too, so that their items find better places
     kept.sort(key=fill)
-    for b in kept[: 1 + len(kept) // 20]:
+    opened = 1 + len(kept) // 20
+    if len(kept) > opened:
+        kept.insert(0, kept.pop(rng.randrange(opened, len(kept))))
+    for b in kept[: opened + 1]:
         displaced += b
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(sizes, displaced, kept[1 + len(kept) // 20 :] + gift, capacity)
+    bins = kept[opened + 1 :] + gift
+    return best_fit(sizes, exchange(sizes, bins, displaced, capacity), bins, capacity)
 
 
 def evolve(sizes, seeds, capacity, rng, population=POPULATION, generations=GENERATIONS):
-    """The best solution found from ``seeds`` (solutions of earlier epochs) by the genetic algorithm."""
+    """The best solution found from ``seeds`` (solutions of earlier epochs) by the genetic algorithm.
+
+    The first solutions fit the items in random order; what makes them good is
+    the crossover. It ends at the lower bound of containers, or when nothing
+    better came for ``STALE`` generations.
+    """
     n = len(sizes)
-    down = sorted(range(n), key=lambda i: -sizes[i])
     people = [[list(b) for b in s] for s in seeds]
-    if not people:
-        people.append(best_fit(sizes, down, [], capacity))
     while len(people) < population:
-        # large ones first, but shuffled among neighbours
-        order = sorted(range(n), key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2))
+        order = list(range(n))
+        rng.shuffle(order)
         people.append(best_fit(sizes, order, [], capacity))
-    scored = sorted(((fitness(sizes, p, capacity), k, p) for k, p in enumerate(people)), reverse=True)
+    scored = sorted(((fitness(sizes, p, capacity), -k, p) for k, p in enumerate(people)), reverse=True)
     bound = -(-sum(sizes) // capacity)
-    tick = len(scored)
-    for _ in range(generations):
-        if len(scored[0][2]) <= bound:
+    tick, better = len(scored), 0
+    for generation in range(generations):
+        if len(scored[0][2]) <= bound or generation - better > STALE:
             break
+        best = scored[0][0]
         for _ in range(population):
             a, b = rng.sample(scored[: max(2, population // 2 + 1)], 2)
             child = crossover(sizes, a[2], b[2], capacity, rng)
             tick += 1
             scored.append((fitness(sizes, child, capacity), -tick, child))
         scored = sorted(scored, reverse=True)[:population]
+        if scored[0][0] > best:
+            better = generation
     return scored[0][2]
 
 
@@ -128,22 +165,30 @@ def _epoch(items: DataFrame, epoch: int, capacity: int) -> DataFrame:
         out = first[["doc_id", "h", "piece", "start", "size"]].copy()
         out["block"], out["island"], out["bin"] = block, island, where
         out["n_bins"], out["fit"] = len(best), fitness(sizes, best, capacity)
+        out["over"] = len(best) + sum(sizes) // -capacity
         return out
 
-    return items.groupBy("block", "island").applyInPandas(run, ITEM + ", block bigint, island int, bin int, n_bins int, fit double")
+    return spread(items, "block", "island").groupBy("block", "island").applyInPandas(run, ITEM + ", block bigint, island int, bin int, n_bins int, fit double, over int")
 
 
 def _packed(items: DataFrame, n: int, capacity: int, turn: int) -> DataFrame:
-    """Items with block and bin of the best island of each block."""
+    """Items with block and bin of the best island of each block; blocks that have reached their lower bound evolve no further."""
     blocks = max(1, -(-n // BLOCK))
     cast = items.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "h", "piece"), F.lit(blocks)))
     state = cast.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("kind", F.lit(0)).withColumn("bin", F.lit(0))
+    out = None
     for epoch in range(EPOCHS):
         done = written(_epoch(state, epoch, capacity), "epoch")
-        elite = done.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))).withColumn("kind", F.lit(1))
-        state = done.withColumn("kind", F.lit(0)).unionByName(elite) if ISLANDS > 1 else done.withColumn("kind", F.lit(0))
-    best = done.groupBy("block").agg(F.min(F.struct("n_bins", (-F.col("fit")).alias("f"), "island")).alias("b")).select("block", F.col("b.island").alias("island"))
-    return done.join(best, ["block", "island"], "left_semi")
+        best = done.groupBy("block").agg(F.min(F.struct("n_bins", (-F.col("fit")).alias("f"), "island")).alias("b"), F.min("over").alias("over"))
+        last = epoch == EPOCHS - 1
+        ready = best if last else best.where("over <= 0")
+        won = done.join(ready.select("block", F.col("b.island").alias("island")), ["block", "island"], "left_semi")
+        out = won if out is None else out.unionByName(won)
+        if not last:
+            going = done.join(best.where("over > 0").select("block"), "block", "left_semi")
+            elite = going.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))).withColumn("kind", F.lit(1))
+            state = going.withColumn("kind", F.lit(0)).unionByName(elite)
+    return out
 
 
 def containers(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:

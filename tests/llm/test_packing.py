@@ -16,6 +16,31 @@ def test_genetic_algorithm_keeps_items_and_capacity():
     assert len(best) <= len(first) and p.fitness(sizes, best, 100) >= p.fitness(sizes, first, 100)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_genetic_algorithm_needs_fewer_containers_than_best_fit(seed):
+    # three items fill a container exactly: best fit decreasing pairs the large ones wrongly
+    rng = random.Random(seed)
+    sizes = []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    first = p.best_fit(sizes, sorted(range(120), key=lambda i: -sizes[i]), [], 1000)
+    best = p.evolve(sizes, [], 1000, rng)
+    none = p.evolve(sizes, [], 1000, random.Random(seed), generations=0)
+    assert sorted(i for b in best for i in b) == list(range(120))
+    assert all(sum(sizes[i] for i in b) <= 1000 for b in best)
+    assert len(best) < len(first) and len(best) < len(none)
+
+
+def test_exchange_keeps_items_and_fills():
+    sizes = [60, 30, 45, 20, 70, 9]
+    bins = [[0, 1], [2, 3]]
+    left = p.exchange(sizes, bins, [4, 5], 100)
+    assert sorted(left + [i for b in bins for i in b]) == list(range(6))
+    assert all(sum(sizes[i] for i in b) <= 100 for b in bins) and sum(sizes[i] for b in bins for i in b) > 155
+
+
 @pytest.mark.parametrize("block", [1500, 40])
 def test_containers(spark, block, monkeypatch):
     monkeypatch.setattr(p, "BLOCK", block)
