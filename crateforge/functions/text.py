@@ -1,11 +1,12 @@
 """Scalar functions on text as column expressions; each has its DuckDB counterpart beside it (``sql_...``).
 
-Everything stays in the JVM. Unicode composition, which Spark lacks, is an Arrow
-UDF that sees only rows with non-ASCII text.
+Everything stays in the JVM but for normal forms of Unicode, which Spark lacks:
+these are functions on whole Arrow columns, with null in place of ASCII text.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -27,18 +28,24 @@ STOPWORDS = ("the", "a", "an", "and", "of", "&", "flac", "mp3", "wav", "aac", "o
 TOKEN_SPLIT = r"[\s\-_\.\(\)\[\]\{\}/\\,&'\"]+"
 
 
-@F.udf(StringType(), useArrow=True)
-def _nfc(s: str) -> str:
+def _each_once(s: pa.Array, f) -> pa.Array:
+    """A function applied to the distinct values of a column."""
+    coded = s.dictionary_encode()
+    return pa.array([f(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(StringType())
+def _nfc(s: pa.Array) -> pa.Array:
     import unicodedata
 
-    return None if s is None else unicodedata.normalize("NFC", s)
+    return _each_once(s, lambda x: unicodedata.normalize("NFC", x))
 
 
-@F.udf(StringType(), useArrow=True)
-def _unaccented(s: str) -> str:
+@F.arrow_udf(StringType())
+def _unaccented(s: pa.Array) -> pa.Array:
     import unicodedata
 
-    return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return _each_once(s, lambda x: "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
 
 
 def _beyond_ascii(c: Column, f) -> Column:
@@ -84,13 +91,19 @@ def _sql_prepass(x: str) -> str:
     return f"""translate(nfc_normalize(coalesce({x}, '')), '–—―−‘’“”', '----''''""')"""
 
 
+#: Passes of the SQL text, which cannot repeat until nothing changes; the plan makes as many as a name has brackets.
+NESTED = 6
+
+
 def strip_format_brackets(c: Column) -> Column:
-    """Drops brackets that hold only notes on the format; twice, for nested ones."""
-    return F.regexp_replace(F.regexp_replace(c, FORMAT_BRACKET, ""), FORMAT_BRACKET, "")
+    """Drops brackets that hold only notes on the format, the inner ones first, until no such bracket is left."""
+    return F.reduce(F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[\[(]")))), c, lambda x, _: F.regexp_replace(x, FORMAT_BRACKET, ""))
 
 
 def sql_strip_format_brackets(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '{FORMAT_BRACKET}', '', 'g'), '{FORMAT_BRACKET}', '', 'g')"
+    for _ in range(NESTED):
+        x = f"regexp_replace({x}, '{FORMAT_BRACKET}', '', 'g')"
+    return x
 
 
 _EDGE = r"^[ \-_.]+|[ \-_.]+$"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crateforge.functions import text as T
 from crateforge.functions.session import table
+from crateforge.operators.text_queries import sql_wish_key
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -129,17 +130,26 @@ def _subset(x: Column, y: Column) -> Column:
     return F.size(F.array_except(x, y)) == 0
 
 
+#: Parts of the library rows of one artist or block, so that no task has a hot one alone.
+SALTS = 8
+
+
+def _every_salt() -> Column:
+    return F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("salt")
+
+
 def near_duplicates(albums: DataFrame) -> DataFrame:
     """cand_id, lib_id: same artist key, one title within the other or a word subset of half its size; the first by id.
 
-    The artist key is the join key. Titles of one artist meet each other only
-    as distinct titles.
+    The artist key is the join key, with a salt: the distinct titles of one
+    artist lie in ``SALTS`` parts, each of which every candidate visits.
     """
     n = albums.select("id", "mb_albumid", T.normalize_artist(c("albumartist")).alias("a"), T.normalize_album(c("album")).alias("t")).where("a <> '' and t <> ''")
     cand, lib = _split(n)
     lib = lib.groupBy("a", "t").agg(F.min("id").alias("lib_id"))
     words = lambda x: F.array_distinct(F.split(x, "[^\\p{L}\\p{N}]+"))
-    m = cand.select("id", "a", c("t").alias("t1")).join(lib.select("a", c("t").alias("t2"), "lib_id"), "a").where("t1 <> t2")
+    part = lib.select("a", c("t").alias("t2"), "lib_id", F.pmod(F.xxhash64("t"), F.lit(SALTS)).alias("salt"))
+    m = cand.select("id", "a", c("t").alias("t1"), _every_salt()).join(part, ["a", "salt"]).where("t1 <> t2")
     w1, w2 = words(c("t1")), words(c("t2"))
     small, big = F.least(F.size(w1), F.size(w2)), F.greatest(F.size(w1), F.size(w2))
     near = (F.instr("t1", c("t2")) > 0) | (F.instr("t2", c("t1")) > 0) | ((_subset(w1, w2) | _subset(w2, w1)) & (small >= 0.5 * big))
@@ -160,8 +170,16 @@ def slot_collisions(items: DataFrame) -> DataFrame:
     return t.groupBy("album_id", "disc", "track").agg(F.count_distinct("t").alias("n")).where("n > 1").groupBy("album_id").agg(F.count(F.lit(1)).alias("slots"))
 
 
-QUERIES["slot_collision"] = lambda s, d: slot_collisions(_items(s, d))
-SQL["slot_collision"] = f"WITH t AS (SELECT album_id, coalesce(disc, 0) AS disc, track, {T.sql_normalize_track('title')} AS t FROM items WHERE track IS NOT NULL), x AS (SELECT album_id FROM t WHERE t <> '' GROUP BY album_id, disc, track HAVING count(DISTINCT t) > 1) SELECT album_id, count(*) AS slots FROM x GROUP BY album_id"
+def merged_items(albums: DataFrame, items: DataFrame) -> DataFrame:
+    """Items under the first album row of their normalised content: what a merge of such rows would hold."""
+    k = albums.select("id", T.content_hash(c("albumartist"), c("album")).alias("key"))
+    first = k.groupBy("key").agg(F.min("id").alias("first"))
+    to = k.join(first, "key").select(c("id").alias("album_id"), "first")
+    return items.select("album_id", "disc", "track", "title").join(to, "album_id").select(c("first").alias("album_id"), "disc", "track", "title")
+
+
+QUERIES["slot_collision"] = lambda s, d: slot_collisions(merged_items(_albums(s, d), _items(s, d)))
+SQL["slot_collision"] = f"WITH k AS (SELECT id, min(id) OVER (PARTITION BY {T.sql_content_hash('albumartist', 'album')}) AS first FROM albums), t AS (SELECT first AS album_id, coalesce(disc, 0) AS disc, track, {T.sql_normalize_track('title')} AS t FROM items JOIN k ON k.id = items.album_id WHERE track IS NOT NULL), x AS (SELECT album_id FROM t WHERE t <> '' GROUP BY album_id, disc, track HAVING count(DISTINCT t) > 1) SELECT album_id, count(*) AS slots FROM x GROUP BY album_id"
 
 
 def fulfilled(wishes: DataFrame, library: DataFrame) -> DataFrame:
@@ -194,7 +212,16 @@ def fulfilled(wishes: DataFrame, library: DataFrame) -> DataFrame:
     short = F.when(F.length("t") <= F.length("t2"), c("t")).otherwise(c("t2"))
     prefix = (F.length(short) >= 6) & F.when(F.length("t") <= F.length("t2"), c("t2").startswith(c("t"))).otherwise(c("t").startswith(c("t2")))
     subset = F.when(F.size(tw) <= F.size(tl), (F.size(tw) >= 2) & _subset(tw, tl)).otherwise((F.size(tl) >= 2) & _subset(tl, tw))
-    return left.join(right, "k").where(artist & ((c("t") == c("t2")) | prefix | subset)).select("id").distinct()
+    left, right = left.select("*", _every_salt()), right.withColumn("salt", F.pmod(F.xxhash64("a2", "t2"), F.lit(SALTS)))
+    return left.join(right, ["k", "salt"]).where(artist & ((c("t") == c("t2")) | prefix | subset)).select("id").distinct()
 
 
 QUERIES["wishlist_fulfilled"] = lambda s, d: fulfilled(table(s, d, "slskd_ledger"), _albums(s, d).select(c("albumartist").alias("artist"), "album"))
+_W2 = lambda x: f"list_filter(string_split({x}, ' '), lambda k: length(k) > 1)"
+_SUB = lambda x, y: f"list_has_all({y}, {x})"
+SQL["wishlist_fulfilled"] = f"""WITH w AS (SELECT id, {sql_wish_key("artist")} AS a, {sql_wish_key("album")} AS t FROM slskd_ledger), l AS (SELECT DISTINCT {sql_wish_key("albumartist")} AS a, {sql_wish_key("album")} AS t FROM albums),
+ u AS (SELECT DISTINCT a, t, {_W2("a")} AS aw, {_W2("t")} AS tw FROM w WHERE a <> '' AND t <> ''), v AS (SELECT a, t, {_W2("a")} AS aw, {_W2("t")} AS tw FROM l WHERE a <> '' AND t <> ''),
+ m AS (SELECT DISTINCT u.a, u.t FROM u JOIN v ON (u.a IN ('various', 'various artists', 'va') OR v.a IN ('various', 'various artists', 'va') OR (len(u.aw) > 0 AND len(v.aw) > 0 AND ({_SUB("u.aw", "v.aw")} OR {_SUB("v.aw", "u.aw")})))
+  AND (u.t = v.t OR (least(length(u.t), length(v.t)) >= 6 AND CASE WHEN length(u.t) <= length(v.t) THEN starts_with(v.t, u.t) ELSE starts_with(u.t, v.t) END)
+   OR CASE WHEN len(u.tw) <= len(v.tw) THEN len(u.tw) >= 2 AND {_SUB("u.tw", "v.tw")} ELSE len(v.tw) >= 2 AND {_SUB("v.tw", "u.tw")} END))
+ SELECT DISTINCT w.id FROM w JOIN m ON m.a = w.a AND m.t = w.t"""

@@ -40,7 +40,7 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(F.struct(order, "id", "state")).alias("m")).select(key, c("m.id").alias("id"), c("m.state").alias("state"))
 
 
-q("ledger_last_live", lambda s, d: latest(_l(s, d).where(c("state").isin(*LIVE)), "identity_key", "queued_at"), f"SELECT identity_key, arg_max(id, (queued_at, id)) AS id, arg_max(state, (queued_at, id)) AS state FROM {_ONCE} WHERE state IN {_SLIVE} GROUP BY identity_key".replace("arg_max(id, (queued_at, id))", "max(id) FILTER (k = 1)").replace("arg_max(state, (queued_at, id))", "max(state) FILTER (k = 1)").replace(f"FROM {_ONCE} WHERE state IN {_SLIVE}", f"FROM (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY queued_at DESC, id DESC) AS k FROM {_ONCE} WHERE state IN {_SLIVE})"))
+q("ledger_last_live", lambda s, d: latest(_l(s, d).where(c("state").isin(*LIVE)), "identity_key", "queued_at"), f"SELECT identity_key, id, state FROM (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY queued_at DESC, id DESC) AS k FROM {_ONCE} WHERE state IN {_SLIVE}) WHERE k = 1")
 q("ledger_last_terminal", lambda s, d: latest(_l(s, d).where(~c("state").isin(*LIVE) & c("terminal_at").isNotNull()), "identity_key", "terminal_at"), f"SELECT identity_key, id, state FROM (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY terminal_at DESC, id DESC) AS k FROM {_ONCE} WHERE state NOT IN {_SLIVE} AND terminal_at IS NOT NULL) WHERE k = 1")
 q("ledger_counts", lambda s, d: once(_l(s, d)).groupBy("state").agg(F.count(F.lit(1)).alias("n")), f"SELECT state, count(*) AS n FROM {_ONCE} GROUP BY state")
 q("ledger_recent", lambda s, d: once(_l(s, d)).orderBy(F.desc("id")).limit(20).select("id", "identity_key", "state"), f"SELECT id, identity_key, state FROM {_ONCE} ORDER BY id DESC LIMIT 20")
@@ -68,30 +68,39 @@ def claims(ledger: DataFrame) -> DataFrame:
 q("claim_inflight", lambda s, d: claims(once(_l(s, d))), f"SELECT identity_key, id FROM (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY queued_at, id) AS k FROM {_ONCE} WHERE state NOT IN {_SLIVE} AND identity_key NOT IN (SELECT identity_key FROM slskd_ledger WHERE state IN {_SLIVE} AND identity_key IS NOT NULL)) WHERE k = 1")
 
 
-def transfers(results: DataFrame) -> DataFrame:
-    """Transfers as the peers' service lists them: user, directories of files with their states.
+# States of a file as the peers' service writes them, and the marks of those that wait or run.
+FILE_STATES = ("Completed, Succeeded", "InProgress", "Queued, Remotely", "Completed, Errored", "Completed, Succeeded", "Initializing")
+ACTIVE = ("InProgress", "Initializing", "Requested")
+
+
+def flat_transfers(results: DataFrame) -> DataFrame:
+    """username, directory, state of every file as the peers' service lists it; no list of a peer is gathered.
 
     The state of a file follows from its size, so that every state occurs.
     """
-    states = F.array(*[F.lit(x) for x in ("Completed, Succeeded", "InProgress", "Queued, Remotely", "Completed, Errored", "Completed, Succeeded")])
-    files = F.transform("files", lambda f: F.struct(F.get(states, (F.coalesce(f["size"], F.lit(0)) % 5).cast("int")).alias("state"), f["filename"].alias("id")))
-    return results.where(F.size("files") > 0).select("username", F.struct("directory", files.alias("files")).alias("dir")).groupBy("username").agg(F.collect_list("dir").alias("directories"))
+    states = F.array(*[F.lit(x) for x in FILE_STATES])
+    size = F.coalesce(c("f.size"), F.lit(0))
+    return results.select("username", "directory", F.explode("files").alias("f")).select("username", "directory", F.get(states, (size % len(FILE_STATES)).cast("int")).alias("state"))
 
 
-def flat_transfers(nested: DataFrame) -> DataFrame:
-    return nested.select("username", F.explode("directories").alias("d")).select("username", c("d.directory").alias("directory"), F.explode("d.files").alias("f")).select("username", "directory", "f.state")
+_FLAT = f"(SELECT username, directory, CASE coalesce(f.size, 0) % {len(FILE_STATES)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FILE_STATES)) + " END AS state FROM (SELECT username, directory, unnest(files) AS f FROM folder_results))"
 
 
-_FLAT = "(SELECT username, directory, CASE coalesce(f.size, 0) % 5 WHEN 0 THEN 'Completed, Succeeded' WHEN 1 THEN 'InProgress' WHEN 2 THEN 'Queued, Remotely' WHEN 3 THEN 'Completed, Errored' ELSE 'Completed, Succeeded' END AS state FROM (SELECT username, directory, unnest(files) AS f FROM folder_results))"
+def _any_of(x: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.contains(x, F.lit(m))
+    return out
 
 
 def _live_state(x: Column) -> Column:
-    return ~F.contains(x, F.lit("Completed")) & (F.contains(x, F.lit("Queued")) | F.contains(x, F.lit("InProgress")) | F.contains(x, F.lit("Requested")))
+    return ~F.contains(x, F.lit("Completed")) & _any_of(x, ("Queued", *ACTIVE))
 
 
-_SLV = "(NOT contains(state, 'Completed') AND (contains(state, 'Queued') OR contains(state, 'InProgress') OR contains(state, 'Requested')))"
+_sany = lambda marks: "(" + " OR ".join(f"contains(state, '{m}')" for m in marks) + ")"
+_SLV = f"(NOT contains(state, 'Completed') AND {_sany(('Queued', *ACTIVE))})"
 _r = lambda s, d: table(s, d, "folder_results")
-q("pending_count", lambda s, d: flat_transfers(transfers(_r(s, d))).groupBy("username").agg(F.sum(_live_state(c("state")).cast("int")).alias("n")).where("n > 0"), f"SELECT username, count(*) AS n FROM {_FLAT} WHERE {_SLV} GROUP BY username")
+q("pending_count", lambda s, d: flat_transfers(_r(s, d)).groupBy("username").agg(F.sum(_live_state(c("state")).cast("int")).alias("n")).where("n > 0"), f"SELECT username, count(*) AS n FROM {_FLAT} WHERE {_SLV} GROUP BY username")
 _key = lambda x: F.lower(F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), "/+$", ""))
 _skey = lambda x: f"lower(regexp_replace(replace({x}, '\\', '/'), '/+$', ''))"
 
@@ -100,7 +109,7 @@ def busy(results: DataFrame, ledger: DataFrame, available: bool = True) -> DataF
     """Directories in use by live transfers or live ledger rows; null stands for all where the source is unknown, as unknown is not empty."""
     if not available:
         return results.sparkSession.createDataFrame([(None,)], "dir string")
-    t = flat_transfers(transfers(results)).where(_live_state(c("state"))).select(_key(c("directory")).alias("dir"))
+    t = flat_transfers(results).where(_live_state(c("state"))).select(_key(c("directory")).alias("dir"))
     return t.union(ledger.where(c("state").isin(*LIVE) & (c("remote_dir") != "")).select(_key(c("remote_dir")))).distinct()
 
 
@@ -113,9 +122,9 @@ def polled(ledger: DataFrame, results: DataFrame, now: float) -> DataFrame:
     One equi-join on user and directory key, one aggregation, one ladder: a row
     without transfers expires after 48 hours and else stays.
     """
-    t = flat_transfers(transfers(results)).select(c("username").alias("u"), _key(c("directory")).alias("k"), "state")
+    t = flat_transfers(results).select(c("username").alias("u"), _key(c("directory")).alias("k"), "state")
     live = _live_state(c("state"))
-    g = t.groupBy("u", "k").agg(F.bool_or(live).alias("any_live"), F.bool_or(live & ~F.contains("state", F.lit("Queued"))).alias("any_active"), F.bool_and(live).alias("all_live"), F.bool_and(F.contains("state", F.lit("Succeeded"))).alias("all_ok"))
+    g = t.groupBy("u", "k").agg(F.bool_or(live).alias("any_live"), F.bool_or(_any_of(c("state"), ACTIVE)).alias("any_active"), F.bool_and(live).alias("all_live"), F.bool_and(F.contains("state", F.lit("Succeeded"))).alias("all_ok"))
     rows = ledger.where(c("state").isin(*LIVE)).select("id", "state", "username", _key(c("remote_dir")).alias("k"), ((F.lit(now) - c("queued_at")) / 3600).alias("age"))
     j = rows.join(g, (c("username") == c("u")) & (rows["k"] == g["k"]) & (rows["k"] != ""), "left")
     to = (
@@ -125,10 +134,10 @@ def polled(ledger: DataFrame, results: DataFrame, now: float) -> DataFrame:
     return j.select("id", "state", to.alias("to"))
 
 
-q("ledger_poll", lambda s, d: polled(once(_l(s, d)), _r(s, d), NOW), f"""WITH t AS (SELECT username AS u, {_skey("directory")} AS k, {_SLV} AS live, state FROM {_FLAT}), g AS (SELECT u, k, bool_or(live) AS al, bool_or(live AND NOT contains(state, 'Queued')) AS aa, bool_and(live) AS ll, bool_and(contains(state, 'Succeeded')) AS ok FROM t GROUP BY u, k)
+q("ledger_poll", lambda s, d: polled(once(_l(s, d)), _r(s, d), NOW), f"""WITH t AS (SELECT username AS u, {_skey("directory")} AS k, {_SLV} AS live, state FROM {_FLAT}), g AS (SELECT u, k, bool_or(live) AS al, bool_or({_sany(ACTIVE)}) AS aa, bool_and(live) AS ll, bool_and(contains(state, 'Succeeded')) AS ok FROM t GROUP BY u, k)
  SELECT l.id, state, CASE WHEN al IS NULL THEN CASE WHEN ({NOW} - queued_at) / 3600 >= 48 THEN 'expired' END WHEN aa THEN CASE WHEN state = 'queued' THEN 'downloading' END WHEN al THEN CASE WHEN state = 'queued' AND ({NOW} - queued_at) / 3600 >= 48 AND ll THEN 'expired' END WHEN ok THEN 'completed' ELSE 'failed' END AS "to"
  FROM {_ONCE} l LEFT JOIN g ON g.u = l.username AND g.k = {_skey("remote_dir")} AND g.k <> '' WHERE state IN {_SLIVE}""")
-q("active_folders", lambda s, d: table(s, d, "held_folders").select("folder_name").join(flat_transfers(transfers(_r(s, d))).where(_live_state(c("state"))).select(F.explode(F.split(F.replace("directory", F.lit("\\"), F.lit("/")), "/")).alias("folder_name")).distinct(), "folder_name", "left_semi"), f"SELECT folder_name FROM held_folders WHERE folder_name IN (SELECT unnest(string_split(replace(directory, '\\', '/'), '/')) FROM {_FLAT} WHERE {_SLV})")
+q("active_folders", lambda s, d: table(s, d, "held_folders").select("folder_name").join(flat_transfers(_r(s, d)).where(_live_state(c("state"))).select(F.explode(F.split(F.replace("directory", F.lit("\\"), F.lit("/")), "/")).alias("folder_name")).distinct(), "folder_name", "left_semi"), f"SELECT folder_name FROM held_folders WHERE folder_name IN (SELECT unnest(string_split(replace(directory, '\\', '/'), '/')) FROM {_FLAT} WHERE {_SLV})")
 
 # ---- state tables -----------------------------------------------------------------------------------------------
 
@@ -202,11 +211,11 @@ def outbox(events: DataFrame) -> DataFrame:
 
 def batched(box: DataFrame, least: int) -> DataFrame:
     """Undelivered notifications: one batch for an event of a folder with ``least`` or more, the others single."""
-    open_ = box.where(~c("delivered"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("event", "folder"))
-    marked = open_.withColumn("n", n)
-    single = marked.where(c("n") < least).select("event", "folder", F.lit(1).cast("bigint").alias("n"), c("id").alias("first_id"))
-    return single.unionByName(open_.groupBy("event", "folder").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where(c("n") >= least).select("event", "folder", "n", "first_id"))
+    open_ = box.where(~c("delivered")).select("id", "event", "folder")
+    n = open_.groupBy("event", "folder").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    few = n.where(c("n") < least).select(c("event").alias("e"), c("folder").alias("f"))
+    single = open_.join(few, c("event").eqNullSafe(c("e")) & c("folder").eqNullSafe(c("f")), "left_semi")
+    return single.select("event", "folder", F.lit(1).cast("bigint").alias("n"), c("id").alias("first_id")).unionByName(n.where(c("n") >= least))
 
 
 _e = lambda s, d: table(s, d, "events")
@@ -238,7 +247,7 @@ def new_albums(items: DataFrame, mark: float, limit: int = 30) -> DataFrame:
 
 q("digest_new_albums", lambda s, d: new_albums(table(s, d, "items"), _MARK).select("artist", "album", "n"), f"SELECT artist, album, n FROM (SELECT artist, album, count(*) AS n, max(added) AS latest FROM items WHERE added > {_MARK} GROUP BY ALL ORDER BY latest DESC, artist NULLS FIRST, album NULLS FIRST LIMIT 30)")
 q("digest_new_tracks", lambda s, d: new_albums(table(s, d, "items"), _MARK).agg(F.sum("n").alias("tracks")), f"SELECT CAST(sum(n) AS BIGINT) AS tracks FROM (SELECT count(*) AS n, max(added) AS latest, artist, album FROM items WHERE added > {_MARK} GROUP BY artist, album ORDER BY latest DESC, artist NULLS FIRST, album NULLS FIRST LIMIT 30)")
-q("digest_topk", lambda s, d: _h(s, d).withColumn("k", F.row_number().over(Window.partitionBy(F.coalesce("reason", F.lit(""))).orderBy(F.desc("files_present"), "folder_name"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("reason", F.lit(""))))).where("k <= 5").select(F.coalesce("reason", F.lit("")).alias("reason"), "folder_name", "k", (c("of") - 5).alias("more")), "SELECT coalesce(reason, '') AS reason, folder_name, k, n - 5 AS more FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(reason, '') ORDER BY files_present DESC, folder_name) AS k, count(*) OVER (PARTITION BY coalesce(reason, '')) AS n FROM held_folders) WHERE k <= 5")
+q("digest_topk", lambda s, d: _h(s, d).withColumn("k", F.row_number().over(Window.partitionBy(F.coalesce("reason", F.lit(""))).orderBy(F.desc("files_present"), "folder_name"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("reason", F.lit(""))))).where("k <= 5").select(F.coalesce("reason", F.lit("")).alias("reason"), "folder_name", "k", F.greatest(c("of") - 5, F.lit(0)).alias("more")), "SELECT coalesce(reason, '') AS reason, folder_name, k, greatest(n - 5, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(reason, '') ORDER BY files_present DESC, folder_name) AS k, count(*) OVER (PARTITION BY coalesce(reason, '')) AS n FROM held_folders) WHERE k <= 5")
 
 
 def level(x: Column, warn: float, fail: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from crateforge.functions import text as T
 from crateforge.functions.session import table
+from crateforge.operators.text_queries import sql_wish_key
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -15,7 +16,10 @@ c = F.col
 # Base scores of formats for music, the floors, and the bonuses for depth and rate.
 FORMATS = {"flac": 500, "wav": 450, "aiff": 450, "aif": 450, "ape": 420, "wv": 420, "alac": 420, "opus": 300, "mp3": 200}
 LOSSY = ("mp3", "m4a", "m4b", "aac")
-SPEED_FLOOR, KBPS_FLOOR = 500_000, 310
+SPEED_FLOOR, KBPS_FLOOR, LOSSLESS_SCORE = 500_000, 310, 400
+# The second profile, for spoken albums: slow peers and low bitrates are usual, containers of its kind count.
+SPOKEN_FORMATS = FORMATS | {"m4a": 200, "m4b": 200, "aac": 200}
+SPOKEN_KBPS_FLOOR = 24
 RATES = ((44100, 0), (48000, 10), (88200, 20), (96000, 25), (192000, 25))
 
 
@@ -37,22 +41,30 @@ def files(results: DataFrame) -> DataFrame:
 _FILES = f"(SELECT folder_id, pos, f.filename AS filename, f.size AS size, f.length AS length, f.bitDepth AS depth, f.sampleRate AS rate, {T.sql_extension('f.filename')} AS ext FROM (SELECT folder_id, CAST(generate_subscripts(files, 1) - 1 AS INT) AS pos, unnest(files) AS f FROM folder_results))"
 
 
-def file_score() -> Column:
-    """Score of a file: base of its format, a bitrate floor for lossy ones, bonuses for the others; -1 where it is out."""
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv]), c("ext"))
+def file_score(formats: dict[str, int] | None = None, kbps_floor: int = KBPS_FLOOR) -> Column:
+    """Score of a file under a profile: base of its format, a bitrate floor for lossy ones, bonuses for the others; -1 where it is out."""
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in (formats or FORMATS).items() for x in kv]), c("ext"))
     length = F.coalesce("length", F.lit(0))
     kbps = F.when(length > 0, c("size") * 8 / F.nullif(length, F.lit(0)) / 1000)
     depth = F.when(c("depth").isin(24, 32), 30).otherwise(0)
     near = F.array_min(F.array(*[F.struct(F.abs(F.coalesce(F.nullif("rate", F.lit(0)), F.lit(44100)) - r).alias("d"), F.lit(i).alias("i"), F.lit(b).alias("b")) for i, (r, b) in enumerate(RATES)]))["b"]
-    return F.when(base.isNull(), -1).when(c("ext").isin(*LOSSY) & (length <= 0), F.when(c("ext") == "mp3", -1).otherwise(base)).when(c("ext").isin(*LOSSY) & (kbps < KBPS_FLOOR), -1).when(base >= 400, base + depth + near).otherwise(base)
+    return F.when(base.isNull(), -1).when(c("ext").isin(*LOSSY) & (length <= 0), F.when(c("ext") == "mp3", -1).otherwise(base)).when(c("ext").isin(*LOSSY) & (kbps < kbps_floor), -1).when(base >= 400, base + depth + near).otherwise(base)
 
 
-_BASE = "CASE ext " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FORMATS.items()) + " END"
+_base_of = lambda formats: "CASE ext " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in formats.items()) + " END"
+_BASE = _base_of(FORMATS)
 _NEAR = "list_sort([" + ", ".join(f"struct_pack(d := abs(coalesce(nullif(rate, 0), 44100) - {r}), i := {i}, b := {b})" for i, (r, b) in enumerate(RATES)) + "])[1].b"
 _LOSSY = "ext IN ('mp3', 'm4a', 'm4b', 'aac')"
-_FS = f"""(CASE WHEN {_BASE} IS NULL THEN -1 WHEN {_LOSSY} AND coalesce(length, 0) <= 0 THEN CASE WHEN ext = 'mp3' THEN -1 ELSE {_BASE} END WHEN {_LOSSY} AND size * 8 / nullif(length, 0) / 1000 < {KBPS_FLOOR} THEN -1
- WHEN {_BASE} >= 400 THEN {_BASE} + CASE WHEN depth IN (24, 32) THEN 30 ELSE 0 END + {_NEAR} ELSE {_BASE} END)"""
+
+
+def _sql_file_score(base: str, floor: int) -> str:
+    return f"""(CASE WHEN {base} IS NULL THEN -1 WHEN {_LOSSY} AND coalesce(length, 0) <= 0 THEN CASE WHEN ext = 'mp3' THEN -1 ELSE {base} END WHEN {_LOSSY} AND size * 8 / nullif(length, 0) / 1000 < {floor} THEN -1
+ WHEN {base} >= 400 THEN {base} + CASE WHEN depth IN (24, 32) THEN 30 ELSE 0 END + {_NEAR} ELSE {base} END)"""
+
+
+_FS = _sql_file_score(_BASE, KBPS_FLOOR)
 q("file_score", lambda s, d: files(_r(s, d)).select("folder_id", "pos", "ext", file_score().alias("score")), f"SELECT folder_id, pos, ext, {_FS} AS score FROM {_FILES}")
+q("file_score_spoken", lambda s, d: files(_r(s, d)).select("folder_id", "pos", "ext", file_score(SPOKEN_FORMATS, SPOKEN_KBPS_FLOOR).alias("score")), f"SELECT folder_id, pos, ext, {_sql_file_score(_base_of(SPOKEN_FORMATS), SPOKEN_KBPS_FLOOR)} AS score FROM {_FILES}")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -60,6 +72,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 
 _VA = r"(?i)(?:^|[\s\-_(\[])(?:v\.?a\.?|various\s*artists?|compilation)(?:[\s\-_)\]]|$)"
+_VA_WORDS = ("various", "artists", "va", "compilation")
 #: Wishes that every folder is scored for: the artist and the album of a wish as search words.
 WISH = ("the lemfirtem fires", "songs from kolmer")
 
@@ -72,7 +85,9 @@ def name_bonus(directory: Column, artist: str, album: str) -> Column:
     plus = hits * 50 + F.when(hits == F.size(t), 30).otherwise(0) + _overlap(a, own) * 15
     segments = F.slice(F.split(name, T.CREDIT), 2, 1000)
     alien = F.size(F.filter(segments, lambda g: (F.size(T.search_tokens(g)) > 0) & (F.size(F.array_intersect(T.search_tokens(g), F.concat(a, t))) == 0)))
-    return plus - 60 * alien - F.when(name.rlike(_VA), 80).otherwise(0)
+    # no penalty where the wish itself asks for a compilation, or names no artist
+    asked = (F.size(a) == 0) | (_overlap(a, F.array(*[F.lit(w) for w in _VA_WORDS])) > 0)
+    return plus - 60 * alien - F.when(~asked & name.rlike(_VA), 80).otherwise(0)
 
 
 _NAME = T.sql_base_name("directory")
@@ -81,7 +96,7 @@ _A, _T2 = _TOK(f"'{WISH[0]}'"), _TOK(f"'{WISH[1]}'")
 _HIT = lambda x, y: f"len(list_intersect({x}, {y}))"
 _SEG = f"string_split_regex({_NAME}, '{T.CREDIT}')[2:]"
 _BONUS = f"""({_HIT(_T2, _TOK(_NAME))} * 50 + CASE WHEN {_HIT(_T2, _TOK(_NAME))} = len({_T2}) THEN 30 ELSE 0 END + {_HIT(_A, _TOK(_NAME))} * 15
- - 60 * len(list_filter({_SEG}, lambda g: len({_TOK("g")}) > 0 AND len(list_intersect({_TOK("g")}, list_concat({_A}, {_T2}))) = 0)) - CASE WHEN regexp_matches({_NAME}, '{_VA}') THEN 80 ELSE 0 END)"""
+ - 60 * len(list_filter({_SEG}, lambda g: len({_TOK("g")}) > 0 AND len(list_intersect({_TOK("g")}, list_concat({_A}, {_T2}))) = 0)) - CASE WHEN len({_A}) > 0 AND NOT list_has_any({_A}, {list(_VA_WORDS)}) AND regexp_matches({_NAME}, '{_VA}') THEN 80 ELSE 0 END)"""
 q("name_bonus", lambda s, d: _r(s, d).select("folder_id", name_bonus(c("directory"), *WISH).alias("bonus")), f"SELECT folder_id, CAST({_BONUS} AS INT) AS bonus FROM folder_results")
 
 
@@ -112,14 +127,21 @@ q("best_folder", lambda s, d: best_by(_scores(s, d), "username"), f"SELECT usern
 q("peer_fallback", lambda s, d: best_by(_scores(s, d), "username").orderBy(F.desc("total"), "folder_id").limit(5), f"SELECT username, folder_id, total FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY total DESC, folder_id) AS k FROM {_TOTAL} AS t WHERE total >= 0) WHERE k = 1 ORDER BY total DESC, folder_id LIMIT 5")
 
 
-def watchdog_scores(results: DataFrame) -> DataFrame:
-    """The stall watchdog's own score: mean of the accepted files, cut to an integer, and speed."""
+def watchdog_scores(results: DataFrame, kbps_floor: int = KBPS_FLOOR) -> DataFrame:
+    """The stall watchdog's own score: mean of the accepted files, cut to an integer, and a bonus for whole megabytes a second.
+
+    Lossy files below the bitrate floor do not count; without length or size they do. No accepted file: 0.
+    """
     base = F.element_at(F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv]), c("ext"))
-    mean = files(results).groupBy("folder_id").agg(F.floor(F.sum(base) / F.count(base)).alias("mean"))
-    return results.join(mean, "folder_id").where("mean is not null").select("folder_id", (c("mean") + F.least(F.floor(c("upload_speed") / 100000), F.lit(50))).cast("bigint").alias("total"))
+    kbps = F.when((c("length") != 0) & (c("size") != 0), c("size") * 8 / (c("length") * 1000))
+    taken = F.when(~F.coalesce((base < LOSSLESS_SCORE) & (kbps < kbps_floor), F.lit(False)), base)
+    mean = files(results).groupBy("folder_id").agg(F.floor(F.sum(taken) / F.count(taken)).alias("mean"))
+    bonus = F.least(F.floor(c("upload_speed") / 1_000_000) * 5, F.lit(50))
+    return results.select("folder_id", "upload_speed").join(mean, "folder_id", "left").select("folder_id", F.coalesce(c("mean") + bonus, F.lit(0)).cast("bigint").alias("total"))
 
 
-q("watchdog_score", lambda s, d: watchdog_scores(_r(s, d)), f"SELECT r.folder_id, CAST(m.mean + least(floor(upload_speed / 100000), 50) AS BIGINT) AS total FROM folder_results r JOIN (SELECT folder_id, floor(sum({_BASE}) / count({_BASE})) AS mean FROM {_FILES} GROUP BY folder_id) m USING (folder_id) WHERE m.mean IS NOT NULL")
+_TAKEN = f"CASE WHEN NOT coalesce({_BASE} < {LOSSLESS_SCORE} AND CASE WHEN length <> 0 AND size <> 0 THEN size * 8 / (length * 1000) END < {KBPS_FLOOR}, false) THEN {_BASE} END"
+q("watchdog_score", lambda s, d: watchdog_scores(_r(s, d)), f"SELECT r.folder_id, CAST(coalesce(m.mean + least(floor(upload_speed / 1000000) * 5, 50), 0) AS BIGINT) AS total FROM folder_results r LEFT JOIN (SELECT folder_id, floor(sum({_TAKEN}) / count({_TAKEN})) AS mean FROM {_FILES} GROUP BY folder_id) m USING (folder_id)")
 
 
 def expanded(results: DataFrame) -> DataFrame:
@@ -145,9 +167,6 @@ def assigned(results: DataFrame, top: int = 5) -> DataFrame:
     return ranked.join(f, "folder_id").groupBy("album", "track").agg(F.min(F.struct("rank", "pos", "folder_id")).alias("m")).select("album", "track", c("m.folder_id").alias("folder_id"), c("m.pos").alias("pos"))
 
 
-q("assign_sources", lambda s, d: assigned(_r(s, d)))
-
-
 def coverage(results: DataFrame) -> DataFrame:
     """Number of tracks a folder lists, and whether they are 1 to k: the whole folder serves as fallback otherwise."""
     f = files(results).select("folder_id", F.expr("try_cast(nullif(regexp_extract(regexp_extract(filename, '([^/\\\\\\\\]*)$', 1), '^\\\\s*(\\\\d{1,3})[\\\\s._-]', 1), '') as int)").alias("track"))
@@ -155,6 +174,9 @@ def coverage(results: DataFrame) -> DataFrame:
 
 
 _TRK = "TRY_CAST(nullif(regexp_extract(regexp_extract(filename, '([^/\\\\]*)$', 1), '^\\s*([0-9]{1,3})[\\s._-]', 1), '') AS INT)"
+q("assign_sources", lambda s, d: assigned(_r(s, d)), f"""WITH r AS (SELECT folder_id, album, row_number() OVER (PARTITION BY album ORDER BY score DESC, folder_id) AS rank FROM (SELECT folder_id, score, {sql_wish_key(_NAME)} AS album FROM folder_results WHERE score >= 0)),
+ f AS (SELECT r.album, r.rank, r.folder_id, t.pos, t.track FROM r JOIN (SELECT folder_id, pos, {_TRK} AS track FROM {_FILES}) t ON t.folder_id = r.folder_id WHERE rank <= 5 AND track > 0)
+ SELECT album, track, folder_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY album, track ORDER BY rank, pos, folder_id) AS k FROM f) WHERE k = 1""")
 q("fallback_assign", lambda s, d: coverage(_r(s, d)), f"SELECT folder_id, count(DISTINCT {_TRK}) AS tracks, coalesce(count(DISTINCT {_TRK}) = max({_TRK}), false) AS whole FROM {_FILES} GROUP BY folder_id")
 
 
@@ -181,5 +203,5 @@ def existing_tracks(albums: DataFrame, items: DataFrame, wishes: DataFrame) -> D
 
 q("existing_tracks", lambda s, d: existing_tracks(table(s, d, "albums"), table(s, d, "items"), table(s, d, "slskd_ledger")), f"WITH h AS (SELECT {T.sql_content_hash('albumartist', 'album')} AS k, max((SELECT count(DISTINCT track) FROM items i WHERE i.album_id = a.id)) AS n FROM albums a WHERE id IN (SELECT album_id FROM items) GROUP BY 1) SELECT DISTINCT id AS wish, coalesce(n, 0) AS n FROM slskd_ledger l LEFT JOIN h ON h.k = {T.sql_content_hash('l.artist', 'l.album')}")
 q("candidate_choice", lambda s, d: table(s, d, "items").select("album_id", "artist", "album").groupBy("album_id").agg(F.min("artist").alias("ta"), F.min("album").alias("tt")).join(table(s, d, "albums").select(c("id").alias("album_id"), "albumartist", c("album").alias("parsed")), "album_id").select("album_id", F.when(F.trim("tt") != "", c("ta")).otherwise(c("albumartist")).alias("artist"), F.when(F.trim("tt") != "", c("tt")).otherwise(c("parsed")).alias("album")), "WITH t AS (SELECT album_id, min(artist) AS ta, min(album) AS tt FROM items GROUP BY album_id) SELECT album_id, CASE WHEN trim(tt) <> '' THEN ta ELSE albumartist END AS artist, CASE WHEN trim(tt) <> '' THEN tt ELSE a.album END AS album FROM t JOIN albums a ON a.id = t.album_id")
-q("retry_query", lambda s, d: table(s, d, "slskd_ledger").select("id", T.query_key(c("artist")).alias("artist_key"), T.query_key(c("album")).alias("album_key")).distinct().join(table(s, d, "mb_canonical_cache").where("canonical_artist is not null"), ["artist_key", "album_key"]).select("id", F.lower(F.concat_ws(" ", "canonical_artist", "canonical_title")).alias("retry"), F.concat_ws(" ", "artist_key", "album_key").alias("asked")).where("retry <> asked").select("id", "retry"), f"WITH w AS (SELECT DISTINCT id, {T.sql_query_key('artist')} AS ak, {T.sql_query_key('album')} AS bk FROM slskd_ledger) SELECT id, lower(concat_ws(' ', canonical_artist, canonical_title)) AS retry FROM w JOIN mb_canonical_cache m ON m.artist_key = ak AND m.album_key = bk WHERE canonical_artist IS NOT NULL AND lower(concat_ws(' ', canonical_artist, canonical_title)) <> concat_ws(' ', ak, bk)")
+q("retry_query", lambda s, d: table(s, d, "mb_canonical_cache").where("canonical_artist is not null").select("artist_key", "album_key", F.lower(F.concat_ws(" ", "canonical_artist", "canonical_title")).alias("retry")).where(c("retry") != F.concat_ws(" ", "artist_key", "album_key")), "SELECT artist_key, album_key, lower(concat_ws(' ', canonical_artist, canonical_title)) AS retry FROM mb_canonical_cache WHERE canonical_artist IS NOT NULL AND lower(concat_ws(' ', canonical_artist, canonical_title)) <> concat_ws(' ', artist_key, album_key)")
 q("author_title", lambda s, d: table(s, d, "items").where(F.trim("artist") != "").groupBy("album_id", "artist").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("f")).groupBy("album_id").agg(F.max(F.struct("n", (-c("f")).alias("f"), "artist"))["artist"].alias("author")).join(table(s, d, "albums").select(c("id").alias("album_id"), F.regexp_replace(F.coalesce("album", F.lit("")), r"^(?i:vol(?:ume)?)\.?\s*\d+\s*-\s*(?:\d{4}\s*-\s*)?", "").alias("title")), "album_id", "right").select("album_id", F.coalesce("author", F.lit("Unknown Author")).alias("author"), "title"), r"WITH v AS (SELECT album_id, artist, count(*) AS n, min(id) AS f FROM items WHERE trim(artist) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY n DESC, f) AS k FROM v) SELECT a.id AS album_id, coalesce(r.artist, 'Unknown Author') AS author, regexp_replace(coalesce(a.album, ''), '^(?i:vol(?:ume)?)\.?\s*[0-9]+\s*-\s*(?:[0-9]{4}\s*-\s*)?', '') AS title FROM albums a LEFT JOIN r ON r.album_id = a.id AND k = 1")

@@ -38,12 +38,20 @@ pair("normalize_track", "items", ["id"], {"k": lambda: T.normalize_track(c("titl
 pair("is_va", "albums", ["id"], {"va": lambda: T.is_va(c("albumartist"))}, {"va": T.sql_is_va("albumartist")})
 pair("valid_mbid", "albums", ["id"], {"ok": lambda: T.valid_id(c("mb_albumid"))}, {"ok": T.sql_valid_id("mb_albumid")})
 pair("content_hash", "albums", ["id"], {"k": lambda: T.content_hash(c("albumartist"), c("album"))}, {"k": T.sql_content_hash("albumartist", "album")})
-add(
-    "wish_normalize",
-    _over("mb_canonical_cache", ["canonical_mbid"], k=lambda: T.wish_key(c("canonical_title"))),
-    f"SELECT canonical_mbid, trim(regexp_replace(lower(strip_accents(replace(nfc_normalize(coalesce(canonical_title, '')), '½', '1⁄2'))), '{T.NOT_WORD}+', ' ', 'g')) AS k FROM mb_canonical_cache WHERE false",
-)
-del SQL["wish_normalize"]
+_COMPAT = {**{chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}, "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "²": "2", "³": "3", "¹": "1", "ª": "a", "º": "o", "ﬁ": "fi", "ﬂ": "fl", "…": "...", "№": "No", "™": "TM", "\u00a0": " "}
+
+
+def sql_wish_key(x: str) -> str:
+    """The key in SQL; compatibility characters of names are spelled out, as the engine has no such normal form."""
+    one = "".join(k for k, v in _COMPAT.items() if len(v) == 1)
+    y = f"translate(nfc_normalize(coalesce({x}, '')), '{one.replace(chr(39), chr(39) * 2)}', '{''.join(_COMPAT[k] for k in one).replace(chr(39), chr(39) * 2)}')"
+    for k, v in _COMPAT.items():
+        if len(v) > 1:
+            y = f"replace({y}, '{k}', '{v}')"
+    return f"trim(regexp_replace(lower(strip_accents({y})), '{T.NOT_WORD}+', ' ', 'g'), ' ')"
+
+
+pair("wish_normalize", "mb_canonical_cache", ["canonical_mbid"], {"k": lambda: T.wish_key(c("canonical_title"))}, {"k": sql_wish_key("canonical_title")})
 pair("search_tokens", "albums", ["id"], {"n": lambda: F.size(T.search_tokens(c("album"))), "words": lambda: F.concat_ws(" ", F.sort_array(T.search_tokens(c("album"))))}, {"n": f"CAST(coalesce(len({T.sql_search_tokens('album')}), -1) AS INT)", "words": f"coalesce(array_to_string(list_sort({T.sql_search_tokens('album')}), ' '), '')"})
 pair("path_parts", "folder_results", ["folder_id"], {"name": lambda: T.base_name(c("directory")), "up": lambda: T.parent_name(c("directory")), "ext": lambda: T.extension(F.get("files", F.lit(0))["filename"])}, {"name": T.sql_base_name("directory"), "up": T.sql_parent_name("directory"), "ext": T.sql_extension("files[1].filename")})
 
@@ -192,7 +200,8 @@ def quality_score():
 
 
 _RANK = "CASE lower(coalesce(format, '')) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANK.items()) + " ELSE 0 END"
-pair("quality_score", "items", ["id"], {"score": quality_score}, {"score": f"CAST({_RANK} * 10000 + coalesce(bitrate, 0) // 1000 * 10 + coalesce(samplerate, 0) // 10 + coalesce(bitdepth, 0) * 100 AS INT)"})
+SQL_QUALITY = f"CAST({_RANK} * 10000 + coalesce(bitrate, 0) // 1000 * 10 + coalesce(samplerate, 0) // 10 + coalesce(bitdepth, 0) * 100 AS INT)"
+pair("quality_score", "items", ["id"], {"score": quality_score}, {"score": SQL_QUALITY})
 pair("abs_path", "folder_results", ["folder_id"], {"p": lambda: F.when(c("directory").startswith("/"), c("directory")).otherwise(F.concat(F.lit("/library/"), c("directory")))}, {"p": "CASE WHEN starts_with(directory, '/') THEN directory ELSE '/library/' || directory END"})
 NOW = 1_767_225_600.0
 pair("time_ago", "fill_attempts", ["folder_name"], {"ago": lambda: F.when(c("last_queued") <= 0, "never").when((F.lit(NOW) - c("last_queued")) < 3600, F.concat(F.floor((F.lit(NOW) - c("last_queued")) / 60).cast("string"), F.lit("m"))).when((F.lit(NOW) - c("last_queued")) < 86400, F.concat(F.floor((F.lit(NOW) - c("last_queued")) / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor((F.lit(NOW) - c("last_queued")) / 86400).cast("string"), F.lit("d")))}, {"ago": f"CASE WHEN last_queued <= 0 THEN 'never' WHEN {NOW} - last_queued < 3600 THEN CAST(floor(({NOW} - last_queued) / 60) AS BIGINT) || 'm' WHEN {NOW} - last_queued < 86400 THEN CAST(floor(({NOW} - last_queued) / 3600) AS BIGINT) || 'h' ELSE CAST(floor(({NOW} - last_queued) / 86400) AS BIGINT) || 'd' END"})
@@ -209,3 +218,15 @@ def _safe(spark, d):
 
 add("safe_name", _safe, f"WITH n AS (SELECT folder_name, substr(regexp_replace(folder_name, '{_BAD}', '_', 'g'), 1, 80) AS safe FROM held_folders), k AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY folder_name) AS k FROM n) SELECT folder_name, CASE WHEN k = 1 THEN safe ELSE safe || '-' || k END AS safe FROM k")
 pair("parse_request", "held_folders", ["folder_name"], {"artist": lambda: F.when(F.instr("folder_name", " - ") > 0, F.trim(F.split("folder_name", " - ", 2)[0])), "album": lambda: F.when(F.instr("folder_name", " - ") > 0, F.trim(F.split("folder_name", " - ", 2)[1])), "error": lambda: F.when(F.trim("folder_name") == "", "empty").when(F.instr("folder_name", " - ") == 0, "no separator")}, {"artist": "CASE WHEN strpos(folder_name, ' - ') > 0 THEN trim(substr(folder_name, 1, strpos(folder_name, ' - ') - 1)) END", "album": "CASE WHEN strpos(folder_name, ' - ') > 0 THEN trim(substr(folder_name, strpos(folder_name, ' - ') + 3)) END", "error": "CASE WHEN trim(folder_name) = '' THEN 'empty' WHEN strpos(folder_name, ' - ') = 0 THEN 'no separator' END"})
+
+
+def missing_tracks(reason):
+    """Track numbers of ``missing=[..]`` in a reason; parts that are no whole number do not count; none where there is no such list."""
+    inner = F.regexp_extract(F.coalesce(reason, F.lit("")), r"missing=\[([^\]]+)\]", 1)
+    parts = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.transform(F.filter(parts, lambda x: x.rlike(r"^\d+$")), lambda x: x.cast("int"))
+
+
+def present_count(reason, place):
+    """First or second number of ``present=a/b`` in a reason, 0 where there is none."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(reason, F.lit("")), r"present=(\d+)/(\d+)", place), F.lit("")).cast("int"), F.lit(0))

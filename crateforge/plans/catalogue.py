@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from crateforge.operators import identity, ledger, library, search, text_queries
+    from crateforge.operators import identity, ledger, library, search, state, text_queries
 
-    return (text_queries, identity, library, ledger, search)
+    return (text_queries, identity, library, ledger, search, state)
 
 
 def queries():
