@@ -5,9 +5,10 @@ tokenizer's own pattern, each distinct word is encoded once, and the ids are
 joined back by position; decoding joins each id with its piece of bytes.
 
 The most frequent words (at most ``HOT_WORDS`` of at most ``HOT_CHARS``
-characters, so a few MB whatever the corpus) are broadcast: no word that many
-rows share is ever shuffled by its text. All other words meet the table in an
-ordinary shuffled join.
+characters, so a few MB whatever the corpus) are broadcast and looked up inside
+the row, whole columns at a time: no word that many rows share is ever shuffled,
+and a document stays one row. Only the places of all other words are exploded and
+meet the table in a shuffled join.
 
 Defined results: null and empty text give an empty list; a text that looks like
 a special token is plain text; a repeated row (same doc_id and text) counts
@@ -70,44 +71,89 @@ def encoded_words(words: DataFrame, directory: str | None = None) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(encode, "word string, n bigint, ids array<int>")
 
 
-def _parts(documents: DataFrame, directory: str | None):
-    """(documents with words of the hot table resolved and the others listed, table of the others)."""
-    docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text") != "")
-    words = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(splits(F.col("text"))).alias("pos", "word"))
-    table = written(encoded_words(words.select("word"), directory), "words")
+def _texts(documents: DataFrame) -> DataFrame:
+    """doc_id, h, text of every non-empty text; of rows with equal doc_id and text one."""
+    docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text") != "").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    twice = docs.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    # texts are shuffled for this only where a row is repeated at all
+    return docs.dropDuplicates(["doc_id", "h"]) if twice else docs
+
+
+def _looked_up(documents: DataFrame, directory: str | None, with_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, number of ids and, if asked for, the ids with -1 for each other word, the other words in order; word, ids of these)."""
+    docs = _texts(documents)
+    words = docs.select("doc_id", "h", splits(F.col("text")).alias("words"))
+    table = written(encoded_words(words.select(F.explode("words").alias("word")), directory), "words")
     short = table.where(F.length("word") <= HOT_CHARS)
     least = short.select("n").orderBy(F.desc("n")).limit(HOT_WORDS + 1).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     bar = least["n"] if least["k"] > HOT_WORDS else 0
     is_hot = (F.length("word") <= HOT_CHARS) & (F.col("n") > F.lit(bar))
-    hot, rest = table.where(is_hot).select("word", "ids"), table.where(~is_hot).select("word", "ids")
-    return words.join(F.broadcast(hot), "word", "left"), rest
+    hot = [(r.word, r.ids) for r in table.where(is_hot).select("word", "ids").sort("word").collect()]
+    shared = documents.sparkSession.sparkContext.broadcast(([w for w, _ in hot], [ids for _, ids in hot] + [[-1]]))
+
+    def look(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, ids = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.list_(pa.int32()))
+        size = np.array([len(x) for x in shared.value[1]])
+        for b in batches:
+            lists = b.column(2)
+            edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=known)
+            rare = at.is_null()
+            at = pc.fill_null(at, len(known))
+            upto = lambda x, edge=edge: np.concatenate([[0], np.cumsum(x)])[edge].astype(np.int32)
+            miss = np.asarray(rare.to_numpy(zero_copy_only=False), bool)
+            begin = upto(size[at.to_numpy(zero_copy_only=False)])
+            cols = [b.column(0), b.column(1), pa.array(np.diff(begin), pa.int32())]
+            cols.append(pa.ListArray.from_arrays(pa.array(begin), ids.take(at).flatten()) if with_ids else pa.nulls(len(b), pa.list_(pa.int32())))
+            cols.append(pa.ListArray.from_arrays(pa.array(upto(miss)), flat.filter(rare)))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "ids", "lacking"])
+
+    seen = written(words.mapInArrow(look, "doc_id bigint, h bigint, n int, ids array<int>, lacking array<string>"), "seen")
+    return seen, table.where(~is_hot).select("word", "ids")
+
+
+def _filled(batches):
+    """Puts the ids of the other words in their places."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for ids, got in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            pieces = {g["pos"]: g["ids"] for g in got}
+            x = np.array(ids, np.int32)
+            places = np.flatnonzero(x == -1)
+            parts, last = [], 0
+            for k, p in enumerate(places):
+                parts += [x[last:p], np.array(pieces[k], np.int32)]
+                last = p + 1
+            out.append(np.concatenate([*parts, x[last:]]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def token_ids(documents: DataFrame, directory: str | None = None) -> DataFrame:
     """doc_id, ids of every document."""
-    seen, rest = _parts(documents, directory)
-    found = F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))
-    lacking = F.collect_list(F.when(F.col("ids").isNull(), F.struct("pos", "word")))
-    gathered = written(seen.groupBy("doc_id", "h").agg(found.alias("found"), lacking.alias("lacking"), (F.max("pos") + 1).alias("n")), "found")
-    asked = gathered.where(F.size("lacking") > 0).select("doc_id", "h", F.explode("lacking").alias("p")).select("doc_id", "h", "p.pos", "p.word")
+    seen, rest = _looked_up(documents, directory, True)
+    open_ = seen.where(F.size("lacking") > 0)
+    asked = open_.select("doc_id", "h", F.posexplode("lacking").alias("pos", "word"))
     got = asked.join(rest, "word").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("got"))
-    none = F.array().cast("array<struct<pos:int,ids:array<int>>>")
-    whole = gathered.join(got, ["doc_id", "h"], "left").withColumn("all", F.concat("found", F.coalesce("got", none)))
-    once = F.when(F.size("all") > F.col("n"), F.array_distinct("all")).otherwise(F.col("all"))
-    ids = whole.select("doc_id", F.flatten(F.transform(F.sort_array(once), lambda x: x["ids"])).alias("ids"))
+    filled = open_.select("doc_id", "h", "ids").join(got, ["doc_id", "h"]).select("doc_id", "ids", "got").mapInArrow(_filled, "doc_id bigint, ids array<int>")
     empty = documents.where(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
-    return ids.unionByName(empty)
+    return seen.where(F.size("lacking") == 0).select("doc_id", "ids").unionByName(filled).unionByName(empty)
 
 
 def token_counts(documents: DataFrame, directory: str | None = None) -> DataFrame:
     """doc_id, h (hash of the text), n_tokens of every non-empty text; one row for a repeated row."""
-    docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text") != "")
-    seen, rest = _parts(docs, directory)
-    gathered = written(seen.groupBy("doc_id", "h").agg(F.sum(F.size("ids")).alias("n"), F.collect_list(F.when(F.col("ids").isNull(), F.col("word"))).alias("lacking"), F.count(F.lit(1)).alias("rows"), (F.max("pos") + 1).alias("words")), "counts")
-    asked = gathered.where(F.size("lacking") > 0).select("doc_id", "h", F.explode("lacking").alias("word"))
-    got = asked.join(rest, "word").groupBy("doc_id", "h").agg(F.sum(F.size("ids")).alias("m"))
-    total = gathered.join(got, ["doc_id", "h"], "left").withColumn("total", F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)))
-    return total.select("doc_id", "h", (F.col("total") * F.col("words") / F.col("rows")).cast("bigint").alias("n_tokens"))
+    seen, rest = _looked_up(documents, directory, False)
+    asked = seen.select("doc_id", "h", F.explode("lacking").alias("word"))
+    more = asked.join(rest.select("word", (F.size("ids") - 1).alias("more")), "word").groupBy("doc_id", "h").agg(F.sum("more").alias("more"))
+    total = seen.select("doc_id", "h", "n").join(more, ["doc_id", "h"], "left")
+    return total.select("doc_id", "h", (F.col("n") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_tokens"))
 
 
 def decoded(ids: DataFrame, directory: str | None = None) -> DataFrame:
