@@ -244,26 +244,37 @@ class Trees:
 
 
 def fitted(stats: DataFrame, common: frozenset[str]) -> Trees:
-    """Trees fitted on the weak labels of a bounded sample and calibrated on the hand-checked holdout."""
+    """Trees fitted on the weak labels of a bounded sample and calibrated on the hand-checked holdout.
+
+    A few written texts of both kinds train at every size, so that no corpus is
+    without one. The holdout never trains: documents of the sample that are in it
+    are left out.
+    """
     import numpy as np
 
-    from crateforge.llm.prose_holdout import HOLDOUT
+    from crateforge.llm.prose_holdout import HOLDOUT, TEST, WRITTEN
 
-    sample = stats.where(~F.col("blank")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select(*NAMES).collect()
-    x, y = [], []
-    for r in sample:
+    held = [(statistics(t, common), lab) for t, lab in HOLDOUT]
+    aside = {tuple(v) for v, _ in held} | {tuple(statistics(t, common)) for t, _ in TEST}
+    x, y = [statistics(t, common) for t, _ in WRITTEN], [lab for _, lab in WRITTEN]
+    for r in stats.where(~F.col("blank")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select(*NAMES).collect():
         label = weak_label(r.asDict())
-        if label is not None:
+        if label is not None and tuple(r) not in aside:
             x.append(list(r))
             y.append(label)
-    held = [(statistics(t, common), lab) for t, lab in HOLDOUT]
-    if len(set(y)) < 2:
-        # too small a corpus for weak labels of both kinds: the holdout stands in for them
-        x, y = [v for v, _ in held], [lab for _, lab in held]
     trees = Trees().fit(np.array(x), np.array(y, float))
     return trees.calibrate(np.array([v for v, _ in held]), np.array([lab for _, lab in held], float))
 
 
+def calibration_error(p, y, parts: int = 10) -> float:
+    """Mean distance of probability and share of junk over parts of equal width, weighed by their documents."""
+    import numpy as np
+
+    p, y = np.asarray(p), np.asarray(y, float)
+    part = np.minimum((p * parts).astype(int), parts - 1)
+    return float(sum(abs((p[part == k] - y[part == k]).sum()) for k in range(parts)) / max(1, len(p)))
+
+
 def judged(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """doc_id, probability of junk and is_prose of every document; blank ones have null for both."""
     from crateforge.functions.session import written

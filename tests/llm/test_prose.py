@@ -1,8 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 
 from crateforge.llm import prose as p
-from crateforge.llm.prose_holdout import HOLDOUT
+from crateforge.llm.prose_holdout import HOLDOUT, TEST
 
 COMMON = "the a of in and is it to was my i his her for with on at never le la les des une et que el los en y der die das und mit am ist".split()
 
@@ -27,3 +29,22 @@ def test_trees_separate_the_holdout():
     x, y = np.array([p.statistics(t, c) for t, _ in HOLDOUT]), np.array([lab for _, lab in HOLDOUT], float)
     t = p.Trees().fit(x, y).calibrate(x, y)
     assert (((t.probability(x) > 0.5) == y).mean()) > 0.95
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_held_out_documents_are_told_and_probabilities_are_calibrated(spark):
+    words = spark.read.parquet(f"{DATA}/common_words.parquet")
+    common = p.common_set(words)
+    trees = p.fitted(p.document_statistics(spark.read.parquet(f"{DATA}/documents.parquet"), words), common)
+    assert not {t for t, _ in TEST} & {t for t, _ in HOLDOUT}
+    prob = trees.probability(np.array([p.statistics(t, common) for t, _ in TEST]))
+    y = np.array([lab for _, lab in TEST])
+    assert ((prob > 0.5) == y).mean() >= 0.95
+    assert p.calibration_error(prob, y) < 0.08
+
+
+def test_calibration_error():
+    assert p.calibration_error([0.0, 1.0], [0, 1]) == 0 and p.calibration_error([0.9, 0.9], [0, 0]) > 0.8 and p.calibration_error([], []) == 0
