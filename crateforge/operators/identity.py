@@ -171,15 +171,16 @@ def slot_collisions(items: DataFrame) -> DataFrame:
 
 
 def merged_items(albums: DataFrame, items: DataFrame) -> DataFrame:
-    """Items under the first album row of their normalised content: what a merge of such rows would hold."""
-    k = albums.select("id", T.content_hash(c("albumartist"), c("album")).alias("key"))
+    """Items under the first album row of their release group, or of their normalised content: what a merge of such rows would hold."""
+    group = F.when(T.valid_id(c("mb_releasegroupid")), F.lower(T.squeeze_space(c("mb_releasegroupid"))))
+    k = albums.select("id", F.coalesce(group, T.content_hash(c("albumartist"), c("album"))).alias("key"))
     first = k.groupBy("key").agg(F.min("id").alias("first"))
     to = k.join(first, "key").select(c("id").alias("album_id"), "first")
     return items.select("album_id", "disc", "track", "title").join(to, "album_id").select(c("first").alias("album_id"), "disc", "track", "title")
 
 
 QUERIES["slot_collision"] = lambda s, d: slot_collisions(merged_items(_albums(s, d), _items(s, d)))
-SQL["slot_collision"] = f"WITH k AS (SELECT id, min(id) OVER (PARTITION BY {T.sql_content_hash('albumartist', 'album')}) AS first FROM albums), t AS (SELECT first AS album_id, coalesce(disc, 0) AS disc, track, {T.sql_normalize_track('title')} AS t FROM items JOIN k ON k.id = items.album_id WHERE track IS NOT NULL), x AS (SELECT album_id FROM t WHERE t <> '' GROUP BY album_id, disc, track HAVING count(DISTINCT t) > 1) SELECT album_id, count(*) AS slots FROM x GROUP BY album_id"
+SQL["slot_collision"] = f"WITH k AS (SELECT id, min(id) OVER (PARTITION BY CASE WHEN {T.sql_valid_id('mb_releasegroupid')} THEN lower({T.sql_squeeze('mb_releasegroupid')}) ELSE {T.sql_content_hash('albumartist', 'album')} END) AS first FROM albums), t AS (SELECT first AS album_id, coalesce(disc, 0) AS disc, track, {T.sql_normalize_track('title')} AS t FROM items JOIN k ON k.id = items.album_id WHERE track IS NOT NULL), x AS (SELECT album_id FROM t WHERE t <> '' GROUP BY album_id, disc, track HAVING count(DISTINCT t) > 1) SELECT album_id, count(*) AS slots FROM x GROUP BY album_id"
 
 
 def fulfilled(wishes: DataFrame, library: DataFrame) -> DataFrame:

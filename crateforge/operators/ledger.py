@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from crateforge.functions import text as T
 from crateforge.functions.session import table
+from crateforge.operators.text_queries import sql_wish_key
 
 QUERIES, SQL = {}, {}
 c = F.col
@@ -137,7 +138,18 @@ def polled(ledger: DataFrame, results: DataFrame, now: float) -> DataFrame:
 q("ledger_poll", lambda s, d: polled(once(_l(s, d)), _r(s, d), NOW), f"""WITH t AS (SELECT username AS u, {_skey("directory")} AS k, {_SLV} AS live, state FROM {_FLAT}), g AS (SELECT u, k, bool_or(live) AS al, bool_or({_sany(ACTIVE)}) AS aa, bool_and(live) AS ll, bool_and(contains(state, 'Succeeded')) AS ok FROM t GROUP BY u, k)
  SELECT l.id, state, CASE WHEN al IS NULL THEN CASE WHEN ({NOW} - queued_at) / 3600 >= 48 THEN 'expired' END WHEN aa THEN CASE WHEN state = 'queued' THEN 'downloading' END WHEN al THEN CASE WHEN state = 'queued' AND ({NOW} - queued_at) / 3600 >= 48 AND ll THEN 'expired' END WHEN ok THEN 'completed' ELSE 'failed' END AS "to"
  FROM {_ONCE} l LEFT JOIN g ON g.u = l.username AND g.k = {_skey("remote_dir")} AND g.k <> '' WHERE state IN {_SLIVE}""")
-q("active_folders", lambda s, d: table(s, d, "held_folders").select("folder_name").join(flat_transfers(_r(s, d)).where(_live_state(c("state"))).select(F.explode(F.split(F.replace("directory", F.lit("\\"), F.lit("/")), "/")).alias("folder_name")).distinct(), "folder_name", "left_semi"), f"SELECT folder_name FROM held_folders WHERE folder_name IN (SELECT unnest(string_split(replace(directory, '\\', '/'), '/')) FROM {_FLAT} WHERE {_SLV})")
+_NOTES = r"[\[({][^\])}]*[\])}]|(^|[^0-9])(?:19|20)[0-9]{2}($|[^0-9])"
+
+
+def active_folders(folders: DataFrame, results: DataFrame) -> DataFrame:
+    """Held folders that a live transfer is filling: names equal but for brackets, years and signs."""
+    key = lambda x: T.wish_key(F.regexp_replace(x, _NOTES, " "))
+    live = flat_transfers(results).where(_live_state(c("state"))).select("directory").distinct().select(key(T.base_name(c("directory"))).alias("k")).where("k <> ''")
+    return folders.select("folder_name", key(c("folder_name")).alias("k")).join(live, "k", "left_semi").select("folder_name")
+
+
+q("active_folders", lambda s, d: active_folders(table(s, d, "held_folders"), _r(s, d)), f"""WITH live AS (SELECT DISTINCT {sql_wish_key("regexp_replace(" + T.sql_base_name("directory") + f", '{_NOTES}', ' ', 'g')")} AS k FROM (SELECT DISTINCT directory FROM {_FLAT} WHERE {_SLV}))
+ SELECT folder_name FROM held_folders WHERE {sql_wish_key(f"regexp_replace(folder_name, '{_NOTES}', ' ', 'g')")} IN (SELECT k FROM live WHERE k <> '')""")
 
 # ---- state tables -----------------------------------------------------------------------------------------------
 

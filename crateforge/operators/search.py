@@ -205,3 +205,30 @@ q("existing_tracks", lambda s, d: existing_tracks(table(s, d, "albums"), table(s
 q("candidate_choice", lambda s, d: table(s, d, "items").select("album_id", "artist", "album").groupBy("album_id").agg(F.min("artist").alias("ta"), F.min("album").alias("tt")).join(table(s, d, "albums").select(c("id").alias("album_id"), "albumartist", c("album").alias("parsed")), "album_id").select("album_id", F.when(F.trim("tt") != "", c("ta")).otherwise(c("albumartist")).alias("artist"), F.when(F.trim("tt") != "", c("tt")).otherwise(c("parsed")).alias("album")), "WITH t AS (SELECT album_id, min(artist) AS ta, min(album) AS tt FROM items GROUP BY album_id) SELECT album_id, CASE WHEN trim(tt) <> '' THEN ta ELSE albumartist END AS artist, CASE WHEN trim(tt) <> '' THEN tt ELSE a.album END AS album FROM t JOIN albums a ON a.id = t.album_id")
 q("retry_query", lambda s, d: table(s, d, "mb_canonical_cache").where("canonical_artist is not null").select("artist_key", "album_key", F.lower(F.concat_ws(" ", "canonical_artist", "canonical_title")).alias("retry")).where(c("retry") != F.concat_ws(" ", "artist_key", "album_key")), "SELECT artist_key, album_key, lower(concat_ws(' ', canonical_artist, canonical_title)) AS retry FROM mb_canonical_cache WHERE canonical_artist IS NOT NULL AND lower(concat_ws(' ', canonical_artist, canonical_title)) <> concat_ws(' ', artist_key, album_key)")
 q("author_title", lambda s, d: table(s, d, "items").where(F.trim("artist") != "").groupBy("album_id", "artist").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("f")).groupBy("album_id").agg(F.max(F.struct("n", (-c("f")).alias("f"), "artist"))["artist"].alias("author")).join(table(s, d, "albums").select(c("id").alias("album_id"), F.regexp_replace(F.coalesce("album", F.lit("")), r"^(?i:vol(?:ume)?)\.?\s*\d+\s*-\s*(?:\d{4}\s*-\s*)?", "").alias("title")), "album_id", "right").select("album_id", F.coalesce("author", F.lit("Unknown Author")).alias("author"), "title"), r"WITH v AS (SELECT album_id, artist, count(*) AS n, min(id) AS f FROM items WHERE trim(artist) <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY n DESC, f) AS k FROM v) SELECT a.id AS album_id, coalesce(r.artist, 'Unknown Author') AS author, regexp_replace(coalesce(a.album, ''), '^(?i:vol(?:ume)?)\.?\s*[0-9]+\s*-\s*(?:[0-9]{4}\s*-\s*)?', '') AS title FROM albums a LEFT JOIN r ON r.album_id = a.id AND k = 1")
+
+
+_BARE = r"[\[({][^\])}]*[\])}]"
+
+
+def recover_status(ledger: DataFrame, results: DataFrame, existing: DataFrame) -> DataFrame:
+    """What a recovery run does with each wish of the ledger, by the first of its rules that holds.
+
+    A wish with an outcome keeps it; then nothing found, nothing good enough, all
+    tracks there already, else queued. ``existing``: wish, n. The folders of a wish
+    are those whose name, without brackets and year, has the title's key.
+    """
+    wish = ledger.groupBy(T.wish_key(c("artist")).alias("a"), T.wish_key(c("album")).alias("t")).agg(F.max(F.struct("id", "state")).alias("m")).select("a", "t", c("m.id").alias("wish"), c("m.state").alias("prior"))
+    bare = F.regexp_replace(F.regexp_replace(T.base_name(c("directory")), _BARE, ""), r"^\d{4}\s*-\s*", "")
+    scored = folder_scores(results, *WISH).select(T.wish_key(bare).alias("t"), "total", "file_count", "folder_id")
+    best = F.max(F.when(c("total") >= 0, F.struct("total", (-c("folder_id")).alias("f"), "file_count")))
+    found = scored.where("t <> ''").groupBy("t").agg(F.count(F.lit(1)).alias("n"), best["file_count"].alias("files"), F.max("total").alias("top"))
+    j = wish.join(found, "t", "left").join(existing, "wish", "left")
+    have = F.coalesce(existing["n"], F.lit(0))
+    status = F.when(~c("prior").isin("failed", "queued"), c("prior")).when(c("top").isNull(), "not_found").when(c("top") < 0, "no_quality").when((have > 0) & (have >= c("files")), "skipped").otherwise("queued")
+    return j.select("wish", status.alias("status"))
+
+
+q("recover_status", lambda s, d: recover_status(table(s, d, "slskd_ledger"), _r(s, d), existing_tracks(table(s, d, "albums"), table(s, d, "items"), table(s, d, "slskd_ledger"))), f"""WITH e AS ({SQL["existing_tracks"]}), w AS (SELECT id AS wish, t, state AS prior FROM (SELECT *, row_number() OVER (PARTITION BY a, t ORDER BY id DESC, state DESC) AS k FROM (SELECT id, state, {sql_wish_key("artist")} AS a, {sql_wish_key("album")} AS t FROM slskd_ledger)) WHERE k = 1),
+ s AS (SELECT {sql_wish_key("regexp_replace(regexp_replace(" + _NAME + ", '[\\[({][^\\])}]*[\\])}]', '', 'g'), '^[0-9]{4}\\s*-\\s*', '')")} AS t, total, file_count, folder_id FROM {_TOTAL} AS x),
+ g AS (SELECT t, file_count AS files, total AS top FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY total DESC, folder_id) AS k FROM s) WHERE k = 1)
+ SELECT w.wish, CASE WHEN prior NOT IN ('failed', 'queued') THEN prior WHEN top IS NULL THEN 'not_found' WHEN top < 0 THEN 'no_quality' WHEN coalesce(e.n, 0) > 0 AND e.n >= files THEN 'skipped' ELSE 'queued' END AS status FROM w LEFT JOIN g ON g.t = w.t AND w.t <> '' LEFT JOIN e ON e.wish = w.wish""")

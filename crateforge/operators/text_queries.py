@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from crateforge.functions import text as T
@@ -38,7 +40,9 @@ pair("normalize_track", "items", ["id"], {"k": lambda: T.normalize_track(c("titl
 pair("is_va", "albums", ["id"], {"va": lambda: T.is_va(c("albumartist"))}, {"va": T.sql_is_va("albumartist")})
 pair("valid_mbid", "albums", ["id"], {"ok": lambda: T.valid_id(c("mb_albumid"))}, {"ok": T.sql_valid_id("mb_albumid")})
 pair("content_hash", "albums", ["id"], {"k": lambda: T.content_hash(c("albumartist"), c("album"))}, {"k": T.sql_content_hash("albumartist", "album")})
-_COMPAT = {**{chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}, "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "²": "2", "³": "3", "¹": "1", "ª": "a", "º": "o", "ﬁ": "fi", "ﬂ": "fl", "…": "...", "№": "No", "™": "TM", "\u00a0": " "}
+#: Characters of other forms and what they stand for: single ones by the rule of the normal form, of the longer ones those that names hold.
+_FORMS = [chr(k) for block in ((0xA0, 0x2100), (0xFF01, 0xFFE0), (0x1D400, 0x1D800)) for k in range(*block)]
+_COMPAT = {ch: k for ch in _FORMS if (k := unicodedata.normalize("NFKD", ch)) != unicodedata.normalize("NFD", ch) and len(k) == 1} | {ch: unicodedata.normalize("NFKD", ch) for ch in "½¼¾ﬁﬂ…№™"}
 
 
 def sql_wish_key(x: str) -> str:
@@ -53,7 +57,7 @@ def sql_wish_key(x: str) -> str:
 
 pair("wish_normalize", "mb_canonical_cache", ["canonical_mbid"], {"k": lambda: T.wish_key(c("canonical_title"))}, {"k": sql_wish_key("canonical_title")})
 pair("search_tokens", "albums", ["id"], {"n": lambda: F.size(T.search_tokens(c("album"))), "words": lambda: F.concat_ws(" ", F.sort_array(T.search_tokens(c("album"))))}, {"n": f"CAST(coalesce(len({T.sql_search_tokens('album')}), -1) AS INT)", "words": f"coalesce(array_to_string(list_sort({T.sql_search_tokens('album')}), ' '), '')"})
-pair("path_parts", "folder_results", ["folder_id"], {"name": lambda: T.base_name(c("directory")), "up": lambda: T.parent_name(c("directory")), "ext": lambda: T.extension(F.get("files", F.lit(0))["filename"])}, {"name": T.sql_base_name("directory"), "up": T.sql_parent_name("directory"), "ext": T.sql_extension("files[1].filename")})
+pair("path_parts", "folder_results", ["folder_id"], {"name": lambda: T.base_name(c("directory")), "up": lambda: T.parent_name(c("directory")), "ext": lambda: F.array_join(F.sort_array(F.array_distinct(F.transform("files", lambda f: T.extension(f["filename"])))), ",")}, {"name": T.sql_base_name("directory"), "up": T.sql_parent_name("directory"), "ext": f"array_to_string(list_sort(list_distinct(list_transform(files, lambda f: {T.sql_extension('f.filename')}))), ',')"})
 
 _CUT = r" [^ ]*$"
 _long = lambda q: F.when(F.length(q) > 60, F.regexp_replace(F.substring(q, 1, 60), _CUT, "")).otherwise(q)
