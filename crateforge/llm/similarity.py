@@ -13,7 +13,7 @@ _CYRILLIC = dict(zip("абвгдезийклмнопрстуфхыэ", "abvgdezi
 _PLAIN = {"ł": "l", "ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ŋ": "n", "ħ": "h"}
 _FOLD = str.maketrans(_CYRILLIC | _PLAIN | {"y": "j"})
 # Words that make another edition of a release, words before the number of a volume, Roman numerals.
-EDITIONS = frozenset("live demos demo deluxe remastered remaster instrumentals instrumental expanded acoustic anniversari bonus unplugged mono stereo ep single remixes remix karaoke acapella reissue sessions2".replace("y", "j").split())
+_EDITION_WORDS = ("live", "demos", "demo", "deluxe", "remastered", "remaster", "instrumentals", "instrumental", "expanded", "acoustic", "anniversary", "bonus", "unplugged", "mono", "stereo", "ep", "single", "remixes", "remix", "karaoke", "acapella", "reissue")
 _VOLUME = frozenset("vol volume part pt no nr teil chapter cd disc disk book number tome bd band".split())
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
 _NUMBER = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
@@ -28,6 +28,7 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).translate(_FOLD)
 
 
+EDITIONS = frozenset(fold(w) for w in _EDITION_WORDS)
 #: Scores below this decide nothing; between it and a match lies a wide gap.
 ENOUGH = 0.72
 _TOKENS = re.compile(r"[^\W_]+")

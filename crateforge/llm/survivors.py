@@ -15,6 +15,8 @@ row without items has no tracks and no date; repeated attribute rows count once.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from crateforge.functions.session import written
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 FIELDS = ("albumartist", "album", "year", "mb_releasegroupid")
 MAX_ROUNDS, STILL = 20, 1e-3
+#: Weights are broadcast to the claims up to so many sources (one short row each); beyond that they meet in an ordinary join.
+MOST_SOURCES = 100_000
 #: Ids in one row of the membership table; a group of any size is spread over as many rows as it needs.
 IDS_PER_ROW = 1000
 
@@ -73,8 +77,10 @@ def discovered(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(release, field, value, support) of the winners, (source, weight) after convergence."""
     claims = written(claims, "claims")
     weights = written(claims.select("source").distinct().withColumn("weight", F.lit(0.8)), "weights")
+    # rows without a source share one: joined by source they would all meet in one task
+    small = weights.count() <= MOST_SOURCES
     for _ in range(MAX_ROUNDS):
-        best = _winners(claims, weights)
+        best = _winners(claims, weights, small)
         judged = claims.join(best.select("release", "field", F.col("value").alias("best")), ["release", "field"])
         right = F.sum(F.when(F.col("value") == F.col("best"), F.col("n")).otherwise(0))
         new = written(judged.groupBy("source").agg(((right + 4.0) / (F.sum("n") + 5.0)).alias("weight")), "weights")
@@ -82,11 +88,13 @@ def discovered(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
         weights = new
         if moved is None or moved < STILL:
             break
-    return _winners(claims, weights), weights
+    else:
+        warnings.warn(f"the weights of sources still moved by {moved:.4f} after {MAX_ROUNDS} rounds", stacklevel=2)
+    return _winners(claims, weights, small), weights
 
 
-def _winners(claims: DataFrame, weights: DataFrame) -> DataFrame:
-    scored = claims.join(weights, "source").groupBy("release", "field", "value").agg(F.sum(F.col("weight") * F.col("n")).alias("support"), F.max("recent").alias("recent"))
+def _winners(claims: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
+    scored = claims.join(F.broadcast(weights) if small else weights, "source").groupBy("release", "field", "value").agg(F.sum(F.col("weight") * F.col("n")).alias("support"), F.max("recent").alias("recent"))
     least = F.struct((-F.round("support", 9)).alias("s"), (-F.coalesce("recent", F.lit(float("-inf")))).alias("r"), F.col("value").alias("v"))
     return scored.groupBy("release", "field").agg(F.min(least).alias("m")).select("release", "field", F.col("m.v").alias("value"), (-F.col("m.s")).alias("support"))
 
