@@ -118,22 +118,25 @@ def _looked_up(documents: DataFrame, directory: str | None, with_ids: bool) -> t
 
 
 def _filled(batches):
-    """Puts the ids of the other words in their places."""
+    """Puts the ids of the other words in their places, whole columns at a time: the k-th gap of a document is for its word at place k."""
     import numpy as np
     import pyarrow as pa
 
     for b in batches:
-        out = []
-        for ids, got in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            pieces = {g["pos"]: g["ids"] for g in got}
-            x = np.array(ids, np.int32)
-            places = np.flatnonzero(x == -1)
-            parts, last = [], 0
-            for k, p in enumerate(places):
-                parts += [x[last:p], np.array(pieces[k], np.int32)]
-                last = p + 1
-            out.append(np.concatenate([*parts, x[last:]]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        ids, got = b.column(1), b.column(2)
+        flat, edge = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        words = got.flatten()
+        order = np.lexsort((words.field("pos").to_numpy(), np.repeat(np.arange(len(b)), np.diff(got.offsets.to_numpy()))))
+        pieces = words.field("ids").take(pa.array(order))
+        values, length = pieces.flatten().to_numpy(), pieces.value_lengths().to_numpy()
+        gap = flat == -1
+        size = np.ones(len(flat), np.int64)
+        size[gap] = length
+        start = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(start[-1], np.int32)
+        out[start[:-1][~gap]] = flat[~gap]
+        out[np.arange(len(values)) + np.repeat(start[:-1][gap] - np.concatenate([[0], np.cumsum(length)])[:-1], length)] = values
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(start[edge].astype(np.int32)), pa.array(out))], ["doc_id", "ids"])
 
 
 def token_ids(documents: DataFrame, directory: str | None = None) -> DataFrame:
