@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +41,22 @@ _TIME = re.compile(r"\b\d{1,2}:\d\d\b")
 _DASH = re.compile(r"\s[-–—/~]\s|\\|\w/\w+/")
 _LETTER, _DIGIT, _UPPER, _SYMBOL = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ]"), re.compile(r"[^\w\s]|_")
 _ROUGH = re.compile(r"[^\w\s.,;:!?'’\"“”«»()\-–—…¿¡]|[\d_]")
-_END = re.compile(r"[.!?…][\"'’”»)\]]*\s*$")
+_STOPS, _CLOSING = frozenset(".!?…"), "\"'’”»)]"
 _SENT = re.compile(r"[.!?…]+[\"'’”»)\]]*\s+|\n\s*\n")
 _SHAPE = ((re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_]+(?:[ '’][^\W\d_]+)*"), "a"))
 
 
+def _ended(line: str) -> bool:
+    """Whether a line ends a sentence, closing signs after the stop aside."""
+    return line.rstrip().rstrip(_CLOSING)[-1:] in _STOPS
+
+
+@lru_cache(100_000)
+def _kind(ch: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a character is a letter, a digit, a capital, a sign."""
+    return bool(_LETTER.match(ch)), bool(_DIGIT.match(ch)), bool(_UPPER.match(ch)), bool(_SYMBOL.match(ch))
+
+
 def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     """The statistics of one text in the order of ``NAMES``."""
     if text is None or not text.strip():
@@ -52,13 +64,19 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     lines = [_QUOTE.sub("", x) for x in _LINES.split(text)]
     full = [x for x in lines if x.strip()]
     n = len(text)
-    low = [w.lower() for w in _WORD.findall(text)]
+    low = list(map(str.lower, _WORD.findall(text)))
     nw = max(1, len(low))
-    stop = [w in common for w in low]
+    stop = list(map(common.__contains__, low))
     counts = Counter(low)
     solid = max(1, sum(map(len, text.split())))
-    letters = len(_LETTER.findall(text))
-    digits, upper, symbols = len(_DIGIT.findall(text)), len(_UPPER.findall(text)), len(_SYMBOL.findall(text))
+    letters = digits = upper = symbols = 0
+    single = Counter(text)
+    for ch, k in single.items():
+        kind = _kind(ch)
+        letters += k * kind[0]
+        digits += k * kind[1]
+        upper += k * kind[2]
+        symbols += k * kind[3]
     seen = Counter(x.strip().lower() for x in full)
     shapes: Counter[str] = Counter()
     leads: Counter[str] = Counter()
@@ -70,20 +88,20 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
         chars += k
         lens.append(k)
         words = _WORD.findall(s)
-        hits = sum(w.lower() in common for w in words)
+        hits = sum(map(common.__contains__, map(str.lower, words)))
         shape = s
         for pat, to in _SHAPE:
             shape = pat.sub(to, shape)
         shapes[shape[:12]] += k
         leads[s[: max(1, min(8, k // 3))].lower()] += k
-        b, f, t = bool(_BULLET.match(s)), bool(_FIELD.search(s)) or len(words) < 9 and bool(_KEY.match(s)), bool(_TIME.search(s))
         again = seen[s.lower()] > 1 and len(full) > 2
         fluent = len(words) > 9 and hits >= 0.3 * len(words) and not again and s.count("|") < 2 and "::" not in s and "\t" not in s and s.count("<") < 3
-        f = f and not fluent
-        brief = len(words) < 5 and not (_END.search(s) and hits)
+        b, t = bool(_BULLET.match(s)), bool(_TIME.search(s))
+        f = not fluent and (bool(_FIELD.search(s)) or len(words) < 9 and bool(_KEY.match(s)))
+        brief = len(words) < 5 and not (_ended(s) and hits)
         few = hits < 0.14 * len(words) or not words
         rough = len(_ROUGH.findall(s)) > 0.2 * k
-        dash = bool(_DASH.search(s)) and hits < 0.3 * len(words) and len(words) < 16
+        dash = len(words) < 16 and hits < 0.3 * len(words) and bool(_DASH.search(s))
         bullet += k * b
         field += k * (f or t)
         short += k * brief
@@ -91,7 +109,7 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
         repeat += k * again
         odd += k * rough
         dashed += k * dash
-        if not (b and len(words) < 12 or f and not (_END.search(s) and hits >= 4) or t or brief or few or again or rough or dash):
+        if not (b and len(words) < 12 or f and not (_ended(s) and hits >= 4) or t or brief or few or again or rough or dash):
             prose += k
     sentences = [c for c in (len(_WORD.findall(x)) for x in _SENT.split("\n".join(lines))) if c]
     grams = Counter(zip(low, low[1:], low[2:], strict=False))
@@ -101,8 +119,8 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     return [
         math.log1p(len(low)), sum(map(len, low)) / nw, symbols / solid, digits / solid,
         upper / max(1, letters), sum(stop) / nw, sum(a != b for a, b in zip(stop, stop[1:], strict=False)) / nw,
-        nw / max(1, len(full)), math.sqrt(sum((x - mean) ** 2 for x in lens) / max(1, len(lens))) / max(1.0, mean), sum(bool(_END.search(x)) for x in full) / max(1, len(full)),
-        bullet / chars, field / chars, short / chars, poor / chars, repeat / chars, max(shapes.values()) / chars, sum(text.count(c) for c in "|\t;={}<>_/\\") / n,
+        nw / max(1, len(full)), math.sqrt(sum((x - mean) ** 2 for x in lens) / max(1, len(lens))) / max(1.0, mean), sum(_ended(x) for x in full) / max(1, len(full)),
+        bullet / chars, field / chars, short / chars, poor / chars, repeat / chars, max(shapes.values()) / chars, sum(single[c] for c in "|\t;={}<>_/\\") / n,
         min(1.5, len(zlib.compress(data, 6)) / len(data)), len(counts) / nw, max(counts.values(), default=0) / nw,
         sum(len(w) > 18 for w in low) / nw, min(60.0, sum(sentences) / max(1, len(sentences))), prose / chars, odd / chars, sum(v - 1 for v in grams.values()) / ng, max(leads.values()) / chars, dashed / chars,
     ]
