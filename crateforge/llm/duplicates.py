@@ -23,7 +23,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.functions.session import written
+from crateforge.functions.session import dropped, written
 
 SEEDS = (11, 1_000_003)
 
@@ -205,16 +205,18 @@ def folder_classes(folders: DataFrame) -> DataFrame:
 def closed(links: DataFrame) -> DataFrame:
     """k, cls: the smallest key that each key of ``links`` (kx, ky) is connected with."""
     both = links.unionByName(links.select(F.col("ky").alias("kx"), F.col("kx").alias("ky")))
-    cls = written(both.groupBy(F.col("kx").alias("k")).agg(F.least("k", F.min("ky")).alias("cls")), "labels")
+    last = written(both.groupBy(F.col("kx").alias("k")).agg(F.least("k", F.min("ky")).alias("cls")), "labels")
     while True:
+        cls = last.select("k", "cls")
         # the label of a neighbour, and the label of the own label
         near = both.join(cls.select(F.col("k").alias("ky"), "cls"), "ky").select(F.col("kx").alias("k"), F.col("cls").alias("to"))
         far = cls.join(cls.select(F.col("k").alias("cls"), F.col("cls").alias("to")), "cls").select("k", "to")
         best = near.unionByName(far).groupBy("k").agg(F.min("to").alias("to"))
         now = written(cls.join(best, "k", "left").select("k", F.least("cls", "to").alias("cls"), (F.col("to") < F.col("cls")).alias("moved")), "labels")
+        dropped(last)
         if not now.where("moved").limit(1).count():
             return now.select("k", "cls")
-        cls = now.select("k", "cls")
+        last = now
 
 
 def folder_pairs(folders: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crateforge.functions.session import written
+from crateforge.functions.session import dropped, written
 
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 FIELDS = ("albumartist", "album", "year", "mb_releasegroupid")
@@ -85,6 +85,7 @@ def discovered(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
         right = F.sum(F.when(F.col("value") == F.col("best"), F.col("n")).otherwise(0))
         new = written(judged.groupBy("source").agg(((right + 4.0) / (F.sum("n") + 5.0)).alias("weight")), "weights")
         moved = new.alias("a").join(weights.alias("b"), "source").agg(F.max(F.abs(F.col("a.weight") - F.col("b.weight")))).first()[0]
+        dropped(weights)
         weights = new
         if moved is None or moved < STILL:
             break
