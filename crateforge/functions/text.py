@@ -21,10 +21,12 @@ _NUM = r"\d{1,4}(?:bit|k|khz|hz|kbps|kbit)?"
 _SEP = r"[\s,/&+_.\-]"
 _ANY = rf"(?:{'|'.join(FORMAT_WORDS)}|{_NUM})"
 FORMAT_BRACKET = rf"(?i)[\[(]{_SEP}*(?:{_NUM}{_SEP}+)*(?:{'|'.join(FORMAT_WORDS)})(?:{_SEP}+{_ANY})*{_SEP}*[\])]"
+# What parts the credits of a name, the shape of an id.
 CREDIT = rf"(?i){WS}+(?:&|feat\.?|featuring|vs\.?|presents){WS}+"
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 # Words of a folder name that say nothing about the release.
 STOPWORDS = ("the", "a", "an", "and", "of", "&", "flac", "mp3", "wav", "aac", "ogg", "opus", "alac", "ape", "wv", "web", "cd", "lp", "ep", "single", "vinyl", "remaster", "remastered", "lossless", "hires", "hi", "res", "kbps", "khz", "bit", "deluxe", "expanded", "edition", "limited", "anniversary", "music", "share", "shared", "albums", "discography")
+# Signs between the words of a query or folder name.
 TOKEN_SPLIT = r"[\s\-_\.\(\)\[\]\{\}/\\,&'\"]+"
 
 
@@ -106,6 +108,7 @@ def sql_strip_format_brackets(x: str) -> str:
     return x
 
 
+# Signs at the edges of a key, a year at its end, a catalogue code.
 _EDGE = r"^[ \-_.]+|[ \-_.]+$"
 _YEAR = rf"{WS}*[\[(](?:19|20)\d\d[\])]{WS}*$"
 _CODE = r"(?i)(^|[^A-Za-z0-9_])APMU\d+($|[^A-Za-z0-9_])"
@@ -135,6 +138,7 @@ def sql_normalize_artist(x: str) -> str:
     return f"regexp_replace(string_split_regex({sql_folded(sql_squeeze(_sql_prepass(x)))}, '{CREDIT}')[1], '{_EDGE}', '', 'g')"
 
 
+# Notes in a track title that are no part of it.
 _TRACK_NOISE = r"\(feat[^)]*\)|(^|[^a-z0-9_])feat\.?([^a-z0-9_].*)?$|\(live[^)]*\)|\([^)]*remaster[^)]*\)"
 
 
@@ -147,6 +151,7 @@ def sql_normalize_track(x: str) -> str:
     return f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{_TRACK_NOISE}', '', 'g'), '[^a-z0-9]+', '', 'g')"
 
 
+# Credits that name no artist.
 _VA = r"^(?:various(?:\s*artists?)?|v\.?\s?a\.?|compilation)$"
 
 

@@ -71,6 +71,7 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+# Marks of a compilation in a folder name, and the words of a wish that ask for one.
 _VA = r"(?i)(?:^|[\s\-_(\[])(?:v\.?a\.?|various\s*artists?|compilation)(?:[\s\-_)\]]|$)"
 _VA_WORDS = ("various", "artists", "va", "compilation")
 #: Wishes that every folder is scored for: the artist and the album of a wish as search words.

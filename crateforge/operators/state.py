@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from crateforge.functions import text as T
 from crateforge.functions.session import table
+from crateforge.operators import library
 from crateforge.operators.ledger import _ONCE, once
 
 QUERIES, SQL = {}, {}
@@ -85,3 +86,22 @@ q("missing_report", lambda s, d: missing_report(table(s, d, "mb_canonical_cache"
 q("total_files", lambda s, d: table(s, d, "folder_results").agg(F.sum("file_count").alias("files"), F.sum(F.size("files")).alias("listed")), "SELECT CAST(sum(file_count) AS BIGINT) AS files, CAST(sum(len(files)) AS BIGINT) AS listed FROM folder_results")
 q("data_version", lambda s, d: table(s, d, "items").agg(F.count(F.lit(1)).alias("rows"), F.max("id").alias("last_id"), F.max("added").alias("last_added")), "SELECT count(*) AS rows, max(id) AS last_id, max(added) AS last_added FROM items")
 q("album_items", lambda s, d: table(s, d, "items").where(c("album_id").isNotNull()).select("album_id", "id", F.hex("path").alias("path"), F.coalesce("disc", F.lit(0)).alias("disc"), F.coalesce("track", F.lit(0)).alias("track")), "SELECT album_id, id, hex(path) AS path, coalesce(disc, 0) AS disc, coalesce(track, 0) AS track FROM items WHERE album_id IS NOT NULL")
+
+
+def graveyard_actions(plan: DataFrame, items: DataFrame) -> DataFrame:
+    """Files of the rows that a duplicate plan drops, as rows of what is to be done; nothing is moved here."""
+    drop = plan.where(c("verdict") == "DROP").select(c("id").alias("album_id"))
+    return items.join(drop, "album_id", "left_semi").select("id", F.lit("move").alias("action"), F.hex("path").alias("path"))
+
+
+q("graveyard_actions", lambda s, d: graveyard_actions(library.duplicate_plan(table(s, d, "albums"), table(s, d, "items")), table(s, d, "items")), "SELECT id, 'move' AS action, hex(path) AS path FROM items WHERE album_id IN (SELECT id FROM (" + library.SQL["dup_plan_verify"] + ") AS p WHERE verdict = 'DROP')")
+
+
+def collected_folders(directories: DataFrame, descend: str, skip: str) -> DataFrame:
+    """The folders one level below a root, of ``descend`` those one level deeper, of ``skip`` none; column ``directory``, either slash."""
+    parts = F.filter(F.split(c("directory"), r"[/\\]+"), lambda x: x != "")
+    at = F.when(parts[0] == descend, 2).otherwise(1)
+    return directories.select(parts.alias("p"), at.alias("at")).where((F.size("p") >= c("at")) & (c("p")[0] != skip)).select(F.array_join(F.slice("p", F.lit(1), c("at")), "/").alias("folder")).distinct()
+
+
+q("collect_folders", lambda s, d: collected_folders(table(s, d, "folder_results"), "downloads", "Backup"), r"WITH x AS (SELECT list_filter(string_split_regex(directory, '[/\\]+'), lambda x: x <> '') AS p FROM folder_results), y AS (SELECT p, CASE WHEN p[1] = 'downloads' THEN 2 ELSE 1 END AS n FROM x) SELECT DISTINCT array_to_string(p[1:n], '/') AS folder FROM y WHERE len(p) >= n AND p[1] <> 'Backup'")

@@ -78,8 +78,10 @@ pair("wildcard_query", "slskd_ledger", ["id"], {"q": _wildcard}, {"q": f"concat_
 _Q = r"[\x27,&\"()\[\]{}/\\]+"
 pair("sanitize_query", "albums", ["id"], {"q": lambda: T.squeeze_space(F.regexp_replace("album", _Q, " "))}, {"q": T.sql_squeeze(f"regexp_replace(album, '{_Q}', ' ', 'g')")})
 
-_HEAD = r"(?i)\s*[\[(](?:WEB|FLAC|MP3|320|Lossless|Hi[- ]?Res|24[- ]?bit|CD|SACD|Vinyl|Remaster(?:ed)?|Expanded|Bonus|Limited|Deluxe)[^\])]*[\])]$"
-_HEAD2 = r"(?i)\s*[-–]\s*(?:WEB|FLAC|MP3|320|Lossless|Hi[- ]?Res|24[- ]?bit|CD|SACD|Vinyl|Remaster(?:ed)?|Expanded|Bonus|Limited|Deluxe)\S*$"
+# Words that make the end of a folder name, or a bracket in it, a note on the copy.
+HEAD_WORDS = ("WEB", "FLAC", "MP3", "320", "Lossless", "Hi[- ]?Res", "24[- ]?bit", "CD", "SACD", "Vinyl", "Remaster(?:ed)?", "Expanded", "Bonus", "Limited", "Deluxe")
+_HEAD = rf"(?i)\s*[\[(](?:{'|'.join(HEAD_WORDS)})[^\])]*[\])]$"
+_HEAD2 = rf"(?i)\s*[-–]\s*(?:{'|'.join(HEAD_WORDS)})\S*$"
 
 
 def _header(folder):
@@ -94,8 +96,11 @@ _CLEAN = f"trim(regexp_replace(trim(regexp_replace(folder_name, '{_HEAD2}', '',
 _OK = f"(strpos({_CLEAN}, ' - ') > 0 AND NOT regexp_full_match(trim(substr({_CLEAN}, 1, strpos({_CLEAN}, ' - ') - 1)), '[0-9]{{4}}'))"
 pair("split_header", "held_folders", ["folder_name"], {"artist": lambda: _header(c("folder_name"))[0], "album": lambda: _header(c("folder_name"))[1]}, {"artist": f"CASE WHEN {_OK} THEN trim(substr({_CLEAN}, 1, strpos({_CLEAN}, ' - ') - 1)) ELSE '' END", "album": f"CASE WHEN {_OK} THEN trim(substr({_CLEAN}, strpos({_CLEAN}, ' - ') + 3)) ELSE {_CLEAN} END"})
 
-_NOISE = r"(?i)\s*[\[(](?:FLAC|MP3|WAV|WEB|CD|Hi[- ]?Res|24[- ]?bit|\d{2,3}kHz|Lossless|Remaster(?:ed)?|Deluxe|Expanded|Limited)[^\])]*[\])]"
-_NOISE_Q = r"(?i)\s*[\[(](?:FLAC|MP3|WAV|WEB|CD|Hi[- ]?Res|24[- ]?bit|\d{2,3}kHz|Lossless|Remaster(?:ed)?|Deluxe|Expanded|Limited|APMU\d+|\d{4}-\d{2}|WEB-FLAC)[^\])]*[\])]"
+# Words of a bracket that is no part of a query, and those of names that were asked for again.
+NOISE_WORDS = ("FLAC", "MP3", "WAV", "WEB", "CD", "Hi[- ]?Res", "24[- ]?bit", r"\d{2,3}kHz", "Lossless", "Remaster(?:ed)?", "Deluxe", "Expanded", "Limited")
+REQUEUED_WORDS = (*NOISE_WORDS, r"APMU\d+", r"\d{4}-\d{2}", "WEB-FLAC")
+_NOISE = rf"(?i)\s*[\[(](?:{'|'.join(NOISE_WORDS)})[^\])]*[\])]"
+_NOISE_Q = rf"(?i)\s*[\[(](?:{'|'.join(REQUEUED_WORDS)})[^\])]*[\])]"
 _STEPS = {"fill": [_NOISE, r"^\d{4}[-\s,]+", r"\s*\{[^}]*\}"], "requeue": [r"\.requeued-\d{8}-\d{4,6}", _NOISE_Q, r"\s*[\[(]\d{4}[\])]", r"^\d{4}[-\s,]+", r"\s*\{[^}]*\}"]}
 
 
@@ -114,6 +119,7 @@ def sql_clean_folder(x, kind):
 
 pair("clean_folder", "fill_attempts", ["folder_name"], {"fill": lambda: clean_folder(c("folder_name"), "fill"), "requeue": lambda: clean_folder(c("folder_name"), "requeue")}, {"fill": sql_clean_folder("folder_name", "fill"), "requeue": sql_clean_folder("folder_name", "requeue")})
 
+# What stands before a dash and is no artist.
 _PSEUDO = r"(?i)^(?:\d{4}|\d{1,2}[-–]\d{1,2}|(?:disc|disk|cd|vol(?:ume)?)\s*\.?\s*\d+)$"
 
 
@@ -191,6 +197,7 @@ pair("canon_title", "items", ["id"], {"k": lambda: canon_title(c("title"), c("ar
 _dir = lambda x: F.lower(F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), "/+$", ""))
 _SDIR = "lower(regexp_replace(replace(remote_dir, '\\', '/'), '/+$', ''))"
 pair("dir_keys", "slskd_ledger", ["id"], {"whole": lambda: _dir(c("remote_dir")), "base": lambda: F.regexp_extract(_dir(c("remote_dir")), "([^/]*)$", 1)}, {"whole": _SDIR, "base": f"regexp_extract({_SDIR}, '([^/]*)$', 1)"})
+# Titles that say nothing.
 _GEN = r"(?i)^(?:\d{1,3}|(?:disc|cd|vol(?:ume)?)\s*\d{1,3})$"
 pair("generic_query", "slskd_ledger", ["id"], {"by_identity": lambda: (F.length(F.trim(F.coalesce("artist", F.lit("")))) < 2) | (F.length(F.trim(F.coalesce("album", F.lit("")))) < 2), "by_pattern": lambda: F.coalesce(F.trim(c("album")).rlike(_GEN), F.lit(False))}, {"by_identity": "(length(trim(coalesce(artist, ''))) < 2 OR length(trim(coalesce(album, ''))) < 2)", "by_pattern": f"coalesce(regexp_matches(trim(album), '{_GEN}'), false)"})
 # Rank of a format.

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
+from crateforge.functions.session import dropped, written
+
 CLAIM = "identity_key string, id bigint, admitted boolean"
 STATE = "live_id bigint"
 
@@ -37,13 +39,14 @@ def admitted(requests: DataFrame) -> DataFrame:
     return requests.groupBy("identity_key").applyInPandasWithState(run, CLAIM, STATE, "append", "NoTimeout")
 
 
-def deliver(outbox: DataFrame, send: Callable[[list], list], done_path: str, checkpoint: str) -> StreamingQuery:
+def deliver(outbox: DataFrame, send: Callable[[list], list], done_path: str, checkpoint: str, at_most_once: bool = False) -> StreamingQuery:
     """At-least-once delivery of a stream of notifications (id, event, payload).
 
     ``send`` gets the rows of a partition-bounded batch and returns the ids that
     were delivered; only those are written as done, so that a failure between
     sending and marking sends again but never loses. Ids already marked are not
-    sent again.
+    sent again. With ``at_most_once`` all are marked before they are sent: a failure
+    loses them but none is sent twice.
     """
 
     def batch(df: DataFrame, _: int) -> None:
@@ -58,6 +61,12 @@ def deliver(outbox: DataFrame, send: Callable[[list], list], done_path: str, che
             for b in frames:
                 yield pa.RecordBatch.from_arrays([pa.array(send(b.to_pylist()), pa.int64())], ["id"])
 
+        if at_most_once:
+            taken = written(open_, "taken")
+            taken.select("id").write.mode("append").parquet(done_path)
+            taken.mapInArrow(act, schema).write.format("noop").mode("overwrite").save()
+            dropped(taken)
+            return
         open_.mapInArrow(act, schema).write.mode("append").parquet(done_path)
 
     return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

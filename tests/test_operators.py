@@ -129,3 +129,10 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("id bigint, event string, payload string").parquet(str(box))
     claims.deliver(stream, lambda rows: [r["id"] for r in rows if r["id"] != 3], done, str(tmp_path / "c2")).awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(done).collect()) == [1, 2]
+    # at most once: marked before it is sent, so what failed is not sent again
+    once = str(tmp_path / "once")
+    spark.createDataFrame([(2,)], "id bigint").write.parquet(once)
+    for k in ("c3", "c4"):
+        stream = spark.readStream.schema("id bigint, event string, payload string").parquet(str(box))
+        claims.deliver(stream, lambda rows: [], once, str(tmp_path / k), at_most_once=True).awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(once).collect()) == [1, 2, 3]
