@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crateforge.functions import text as T
-from crateforge.functions.session import table
+from crateforge.functions.session import table, written
 from crateforge.operators.text_queries import sql_wish_key
 
 QUERIES, SQL = {}, {}
@@ -138,22 +138,73 @@ def _every_salt() -> Column:
     return F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("salt")
 
 
+#: Letters of a piece by which a title is looked up in longer ones; a shorter title is its own piece.
+PIECE = 6
+
+
+def _pieces(x: Column, n: Column) -> Column:
+    """Distinct substrings of length ``n``."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substr(x, i, n)))
+
+
+def _rarest(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """id, k: of the keys of each id that all must be held by what it meets, the one that the fewest rows of ``held`` have; none where one has no row.
+
+    Both sides: id, k. ``asked`` has all keys of an id, so a missing one shows in the counts.
+    """
+    count = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(count.hint("merge"), "k", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("b")).where("b.n > 0").select("id", "b.k")
+
+
+def _title_words(x: Column) -> Column:
+    return F.array_distinct(F.split(x, "[^\\p{L}\\p{N}]+"))
+
+
+def near_pairs(cand: DataFrame, lib: DataFrame) -> DataFrame:
+    """cid, lid of the titles that may be near: id, a (artist key), t (title) on both sides.
+
+    A title within another has all its pieces there, and a subset all its words:
+    it is looked up by the rarest of them among the other side's titles of the
+    artist, in both directions. Every piece and word is a key of its own, so no
+    pair is lost and no artist is a block.
+    """
+    size = F.least(F.length("t"), F.lit(PIECE))
+
+    def pieces_of(df: DataFrame) -> DataFrame:
+        return df.select("id", "a", F.explode(_pieces(c("t"), size)).alias("p")).select("id", F.xxhash64("a", "p").alias("k"))
+
+    def pieces_for(df: DataFrame, other: DataFrame) -> DataFrame:
+        """Pieces of the lengths that titles of the other side have."""
+        wanted = other.select("a", size.alias("n")).groupBy("a").agg(F.collect_set("n").alias("ns"))
+        each = F.array_distinct(F.flatten(F.transform(F.filter("ns", lambda k: k <= F.length("t")), lambda k: _pieces(c("t"), k))))
+        return df.join(wanted, "a").select("id", "a", F.explode(each).alias("p")).select("id", F.xxhash64("a", "p").alias("k"))
+
+    words = lambda df: df.select("id", "a", F.explode(_title_words(c("t"))).alias("w")).select("id", F.xxhash64("a", "w").alias("k"))
+
+    def met(asked: DataFrame, held: DataFrame, i: str, j: str) -> DataFrame:
+        held = written(held, "held")
+        return _rarest(asked, held).withColumnRenamed("id", i).join(held.withColumnRenamed("id", j).hint("merge"), "k").select("cid", "lid")
+
+    return met(pieces_of(cand), pieces_for(lib, cand), "cid", "lid").unionByName(met(pieces_of(lib), pieces_for(cand, lib), "lid", "cid")).unionByName(met(words(cand), words(lib), "cid", "lid")).unionByName(met(words(lib), words(cand), "lid", "cid")).distinct()
+
+
 def near_duplicates(albums: DataFrame) -> DataFrame:
     """cand_id, lib_id: same artist key, one title within the other or a word subset of half its size; the first by id.
 
-    The artist key is the join key, with a salt: the distinct titles of one
-    artist lie in ``SALTS`` parts, each of which every candidate visits.
+    Titles of one artist are not compared all with all, see ``near_pairs``; equal
+    ones collapse first.
     """
-    n = albums.select("id", "mb_albumid", T.normalize_artist(c("albumartist")).alias("a"), T.normalize_album(c("album")).alias("t")).where("a <> '' and t <> ''")
-    cand, lib = _split(n)
-    lib = lib.groupBy("a", "t").agg(F.min("id").alias("lib_id"))
-    words = lambda x: F.array_distinct(F.split(x, "[^\\p{L}\\p{N}]+"))
-    part = lib.select("a", c("t").alias("t2"), "lib_id", F.pmod(F.xxhash64("t"), F.lit(SALTS)).alias("salt"))
-    m = cand.select("id", "a", c("t").alias("t1"), _every_salt()).join(part, ["a", "salt"]).where("t1 <> t2")
-    w1, w2 = words(c("t1")), words(c("t2"))
+    # written before they are filtered: else the keys are made once for the filter and once more for the rows
+    n = written(albums.select("id", T.valid_id(c("mb_albumid")).alias("own"), T.normalize_artist(c("albumartist")).alias("a"), T.normalize_album(c("album")).alias("t")), "titles").where("a <> '' and t <> ''")
+    cand = written(n.where(~c("own")).groupBy("a", "t").agg(F.count(F.lit(1)).alias("n")).select("a", "t", F.xxhash64(F.lit(1), "a", "t").alias("id")), "candidates")
+    lib = written(n.where("own").groupBy("a", "t").agg(F.min("id").alias("lib_id")).select("a", "t", "lib_id", F.xxhash64(F.lit(2), "a", "t").alias("id")), "library")
+    pairs = near_pairs(cand, lib)
+    both = pairs.join(cand.select(c("id").alias("cid"), "a", c("t").alias("t1")).hint("merge"), "cid").join(lib.select(c("id").alias("lid"), c("a").alias("a2"), c("t").alias("t2"), "lib_id").hint("merge"), "lid").where("a = a2 and t1 <> t2")
+    w1, w2 = _title_words(c("t1")), _title_words(c("t2"))
     small, big = F.least(F.size(w1), F.size(w2)), F.greatest(F.size(w1), F.size(w2))
     near = (F.instr("t1", c("t2")) > 0) | (F.instr("t2", c("t1")) > 0) | ((_subset(w1, w2) | _subset(w2, w1)) & (small >= 0.5 * big))
-    return m.where(near).groupBy(c("id").alias("cand_id")).agg(F.min("lib_id").alias("lib_id"))
+    first = both.where(near).groupBy("a", "t1").agg(F.min("lib_id").alias("lib_id"))
+    return n.where(~c("own")).join(first.withColumnRenamed("t1", "t").hint("merge"), ["a", "t"]).select(c("id").alias("cand_id"), "lib_id")
 
 
 QUERIES["near_dup"] = lambda s, d: near_duplicates(_albums(s, d))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import sqlite3
 
 import pytest
@@ -40,6 +41,29 @@ def test_identity_rules(spark):
     assert keys[4] == keys[3] + "#disc=2" and keys[5] == keys[3] + "#disc=3" and keys[6] == "review:6"
 
 
+def _near(x, y):
+    w1, w2 = ({*re.split(r"[^\w]+|_+", z)} for z in (x, y))
+    return x in y or y in x or (w1 <= w2 or w2 <= w1) and min(len(w1), len(w2)) >= 0.5 * max(len(w1), len(w2))
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["river", "old", "stone", "is", "a", "lightning", "(live)", "riverside", "x-y"])
+    rows = [(i, rng.choice(["ann", "bo"]), " ".join(word() for _ in range(rng.randint(1, 5))), 1, rng.choice([U, None]), None) for i in range(150)]
+    rows += [rows[0], (900, "ann", None, 1, U, None), (901, None, "river", 1, None, None)]
+    lib = [r for r in rows if r[4] and r[2]]
+    want = {r[0]: min(near) for r in rows if not r[4] and r[1] and (near := [y[0] for y in lib if y[1] == r[1] and y[2] != r[2] and _near(r[2], y[2])])}
+    got = identity.near_duplicates(spark.createDataFrame(rows, ALBUM)).collect()
+    assert {r.cand_id: r.lib_id for r in got} == want and len(want) > 30
+
+
+def test_titles_of_one_artist_do_not_meet_all(spark):
+    name = lambda i: "songs from " + "".join("bdfgklmnpr"[int(k)] + "aeiou"[int(k) % 5] for k in f"{i * 7919 % 100000:05d}")
+    side = lambda at: spark.createDataFrame([(i, "ann", name(i)) for i in range(at, at + 400)] + [(at + 400, "ann", "songs from")], "id bigint, a string, t string")
+    # 160,801 pairs of which 801 are near
+    assert 801 <= identity.near_pairs(side(0), side(1000)).count() < 8000
+
+
 def _answers(wish, lib):
     def matches(a, b):
         x, y = a[0].split(), b[0].split()
