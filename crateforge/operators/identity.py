@@ -130,14 +130,6 @@ def _subset(x: Column, y: Column) -> Column:
     return F.size(F.array_except(x, y)) == 0
 
 
-#: Parts of the library rows of one artist or block, so that no task has a hot one alone.
-SALTS = 8
-
-
-def _every_salt() -> Column:
-    return F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(SALTS)])).alias("salt")
-
-
 #: Letters of a piece by which a title is looked up in longer ones; a shorter title is its own piece.
 PIECE = 6
 
@@ -234,38 +226,58 @@ QUERIES["slot_collision"] = lambda s, d: slot_collisions(merged_items(_albums(s,
 SQL["slot_collision"] = f"WITH k AS (SELECT id, min(id) OVER (PARTITION BY CASE WHEN {T.sql_valid_id('mb_releasegroupid')} THEN lower({T.sql_squeeze('mb_releasegroupid')}) ELSE {T.sql_content_hash('albumartist', 'album')} END) AS first FROM albums), t AS (SELECT first AS album_id, coalesce(disc, 0) AS disc, track, {T.sql_normalize_track('title')} AS t FROM items JOIN k ON k.id = items.album_id WHERE track IS NOT NULL), x AS (SELECT album_id FROM t WHERE t <> '' GROUP BY album_id, disc, track HAVING count(DISTINCT t) > 1) SELECT album_id, count(*) AS slots FROM x GROUP BY album_id"
 
 
+#: Letters of a title that make it an answer as the beginning of another.
+HEAD = 6
+
+
+def title_pairs(wished: DataFrame, held: DataFrame) -> DataFrame:
+    """wt, lt of the titles that may answer each other; both sides: t, distinct.
+
+    Nothing meets by a block of equal beginnings: the shorter title is looked up
+    whole among all beginnings of the longer ones, and a subset of words by its
+    rarest word, in both directions. Both follow from the title rule, so no pair
+    is lost.
+    """
+    words = lambda df: df.select("t", F.explode(F.array_distinct(_long_words(c("t")))).alias("k"))
+    several = lambda df: words(df.where(F.size(_long_words(c("t"))) > 1))
+    whole = F.xxhash64("t").alias("k")
+    heads = F.transform(F.sequence(F.lit(HEAD), F.length("t")), lambda n: F.xxhash64(F.substr("t", F.lit(1), n)))
+    begun = lambda df: df.select("t", F.explode(F.when(F.length("t") >= HEAD, heads).otherwise(F.array(F.xxhash64("t")))).alias("k"))
+    pair = lambda x, y, i, j: x.withColumnRenamed("t", i).join(y.withColumnRenamed("t", j).hint("merge"), "k").select("wt", "lt")
+
+    def by_word(asked: DataFrame, among: DataFrame, i: str, j: str) -> DataFrame:
+        among = words(among)
+        return pair(_rarest(several(asked).withColumnRenamed("t", "id"), among).withColumnRenamed("id", "t"), among, i, j)
+
+    return pair(wished.select("t", whole), begun(held), "wt", "lt").unionByName(pair(held.select("t", whole), begun(wished), "lt", "wt")).unionByName(by_word(wished, held, "wt", "lt")).unionByName(by_word(held, wished, "lt", "wt")).distinct()
+
+
+def _long_words(x: Column) -> Column:
+    return F.filter(F.split(x, " "), lambda k: F.length(k) > 1)
+
+
 def fulfilled(wishes: DataFrame, library: DataFrame) -> DataFrame:
     """id of the wishes that a library row answers: fuzzy artist and fuzzy title.
 
-    Instead of comparing all with all, a pair must share the first six letters
-    of the title, or a word of it of two letters or more: both conditions follow
-    from the title rule, so the blocks lose nothing. A word of fewer rows than
-    its neighbours is chosen as the block of a wish (its rarest), as a subset
-    must hold every word of the shorter side.
+    Distinct titles meet first, see ``title_pairs``; their artists are compared
+    only where the titles answer each other.
     """
-    norm = lambda df, i: df.select(c(i).alias("id"), T.wish_key(c("artist")).alias("a"), T.wish_key(c("album")).alias("t")).where("a <> '' and t <> ''")
-    w = norm(wishes, "id")
-    lib = norm(library.withColumn("zero", F.lit(0)), "zero").select("a", "t").distinct()
-    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda k: F.length(k) > 1))
-    count = lib.select(F.explode(words(c("t"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    wide = w.select("id", "a", "t", F.explode(words(c("t"))).alias("w")).join(count, "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare_w = wide.groupBy("id", "a", "t").agg(F.min_by("w", F.struct("n", "w")).alias("k")).select("id", "a", "t", F.concat(F.lit("w:"), "k").alias("k"))
-    tagged = lambda df, cols, tag: df.select(*cols, F.explode(words(c("t"))).alias("k")).withColumn("k", F.concat(F.lit(tag), "k"))
-    lib_words = tagged(lib, ["a", "t"], "w:")
-    rare_l = lib.select("a", "t", F.explode(words(c("t"))).alias("w")).join(count, "w").groupBy("a", "t").agg(F.min_by("w", F.struct("n", "w")).alias("k")).select("a", "t", F.concat(F.lit("l:"), "k").alias("k"))
-    wish_words = tagged(w, ["id", "a", "t"], "l:")
-    head = lambda x: F.concat(F.lit("h:"), F.substring(x, 1, 6))
-    left = rare_w.unionByName(wish_words).unionByName(w.select("id", "a", "t", head(c("t")).alias("k")))
-    right = lib_words.unionByName(rare_l).unionByName(lib.select("a", "t", head(c("t")).alias("k"))).select(c("a").alias("a2"), c("t").alias("t2"), "k")
+    norm = lambda df, *i: df.select(*i, T.wish_key(c("artist")).alias("a"), T.wish_key(c("album")).alias("t"))
+    # written before they are filtered: else the keys are made once for the filter and once more for the rows
+    named = "a <> '' and t <> ''"
+    w = written(norm(wishes, "id"), "wishes").where(named)
+    lib = written(norm(library).distinct(), "library").where(named)
     va = ("various", "various artists", "va")
+    words = lambda x: F.array_distinct(_long_words(x))
     wa, la = words(c("a")), words(c("a2"))
     artist = c("a").isin(*va) | c("a2").isin(*va) | ((F.size(wa) > 0) & (F.size(la) > 0) & (_subset(wa, la) | _subset(la, wa)))
-    tw, tl = F.filter(F.split("t", " "), lambda k: F.length(k) > 1), F.filter(F.split("t2", " "), lambda k: F.length(k) > 1)
-    short = F.when(F.length("t") <= F.length("t2"), c("t")).otherwise(c("t2"))
-    prefix = (F.length(short) >= 6) & F.when(F.length("t") <= F.length("t2"), c("t2").startswith(c("t"))).otherwise(c("t").startswith(c("t2")))
+    tw, tl = _long_words(c("t")), _long_words(c("t2"))
+    prefix = (F.least(F.length("t"), F.length("t2")) >= HEAD) & F.when(F.length("t") <= F.length("t2"), c("t2").startswith(c("t"))).otherwise(c("t").startswith(c("t2")))
     subset = F.when(F.size(tw) <= F.size(tl), (F.size(tw) >= 2) & _subset(tw, tl)).otherwise((F.size(tl) >= 2) & _subset(tl, tw))
-    left, right = left.select("*", _every_salt()), right.withColumn("salt", F.pmod(F.xxhash64("a2", "t2"), F.lit(SALTS)))
-    return left.join(right, ["k", "salt"]).where(artist & ((c("t") == c("t2")) | prefix | subset)).select("id").distinct()
+    pairs = title_pairs(written(w.select("t").distinct(), "wished"), written(lib.select("t").distinct(), "held"))
+    near = pairs.withColumnsRenamed({"wt": "t", "lt": "t2"}).where((c("t") == c("t2")) | prefix | subset)
+    met = near.join(w.select("a", "t").distinct().hint("merge"), "t").join(lib.withColumnsRenamed({"a": "a2", "t": "t2"}).hint("merge"), "t2").where(artist)
+    return w.join(met.select("a", "t").distinct().hint("merge"), ["a", "t"], "left_semi").select("id").distinct()
 
 
 QUERIES["wishlist_fulfilled"] = lambda s, d: fulfilled(table(s, d, "slskd_ledger"), _albums(s, d).select(c("albumartist").alias("artist"), "album"))

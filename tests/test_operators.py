@@ -85,6 +85,14 @@ def test_fuzzy_wishes_equal_brute_force(spark):
     assert {r.id for r in got.collect()} == _answers(wish, lib)
 
 
+def test_titles_of_one_beginning_do_not_meet_all(spark):
+    name = lambda i: "songs from " + "".join("bdfgklmnpr"[int(k)] + "aeiou"[int(k) % 5] for k in f"{i * 7919 % 100000:05d}")
+    side = lambda at: spark.createDataFrame([(name(i),) for i in range(at, at + 400)] + [("songs from",), ("songs",)], "t string")
+    pairs = identity.title_pairs(side(0), side(300))
+    # of 161,604 pairs
+    assert pairs.count() < 3000 and pairs.where("wt = lt").count() == 102 and pairs.where("wt = 'songs from'").count() == 401
+
+
 def test_sources_are_assigned_as_a_greedy_walk_would(spark):
     rng = random.Random(2)
     rows = []
